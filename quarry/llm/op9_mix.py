@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, read, stored, text_of
 
-PATTERN, SHARE, MOST, SEED, BUCKET = (5.0, 2.0, 1.0), 1.5, 2.0, 42, 256
+PATTERN, SHARE, MOST, SEED, BUCKET, EXACT = (5.0, 2.0, 1.0), 1.5, 2.0, 42, 256, 20_000
 
 
 def targets(totals: list[tuple[str | None, int]], share: float = SHARE, most: float = MOST) -> dict:
@@ -35,24 +35,30 @@ def targets(totals: list[tuple[str | None, int]], share: float = SHARE, most: fl
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, for a sum as near below the budget as the programme finds."""
-    take = np.floor(counts * (budget / max(1, int((lengths * counts).sum())))).astype(np.int64)
-    take[lengths == 0] = 0
+    """How many documents of each length to take, for the sum nearest the budget (the lower of two).
+
+    All but the last EXACT words of a large budget are a proportional share and long documents; the
+    programme then chooses among all remaining counts."""
+    take = np.zeros_like(counts)
+    if budget > EXACT:
+        take = np.floor(counts * ((budget - EXACT) / int((lengths * counts).sum()))).astype(np.int64)
+        take[lengths == 0] = 0
     left = int(budget - (lengths * take).sum())
-    for i in np.argsort(-lengths, kind="stable"):  # leaves less than the shortest free length, or a small rest
-        if lengths[i] and left > 4 * lengths[i]:
-            k = min(counts[i] - take[i], (left - 2 * lengths[i]) // lengths[i])
+    for i in np.argsort(-lengths, kind="stable"):
+        if left > 2 * EXACT and lengths[i]:
+            k = min(counts[i] - take[i], (left - EXACT) // lengths[i])
             take[i] += k
             left -= int(k * lengths[i])
-    free = [i for i in np.argsort(lengths, kind="stable") if 0 < lengths[i] <= left and counts[i] > take[i]]
+    free = [i for i in np.argsort(lengths, kind="stable") if 0 < lengths[i] < 2 * left and counts[i] > take[i]]
     if not free or left <= 0:
         return take
+    goal, left = left, 2 * left
     who, many = np.full(left + 1, -1, np.int64), np.zeros(left + 1, np.int64)  # the chunk that first reached a sum
     reach = np.zeros(left + 1, bool)
     reach[0] = True
     for i in free:
         n, copies = int(counts[i] - take[i]), 1
-        while n > 0 and not reach[left]:
+        while n > 0 and not reach[goal]:
             copies = min(copies, n)
             step = int(lengths[i]) * copies
             if step > left:
@@ -62,9 +68,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             who[new], many[new] = i, copies
             reach |= new
             n, copies = n - copies, copies * 2
-        if reach[left]:
+        if reach[goal]:
             break
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - goal))])
     extra = np.zeros_like(take)
     while at > 0:
         extra[who[at]] += many[at]
