@@ -108,7 +108,7 @@ _LANE = """lane AS (SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id AS key,
 
 def _chunks(size: int, overlap: int) -> str:
     step = size - overlap
-    return rf"""w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), x -> x <> '') AS w FROM documents),
+    return rf"""w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents),
  c AS (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - {size}) / {step}::DOUBLE))::INT + 1))::INT AS chunk_index FROM w WHERE len(w) > 0),
  chunks AS (SELECT doc_id, chunk_index, chunk_index * {step} AS start_index, least(chunk_index * {step} + {size}, len(w))::INT AS end_index,
  list_slice(w, chunk_index * {step} + 1, chunk_index * {step} + {size}) AS ws FROM c)"""
@@ -139,8 +139,8 @@ SQL = {
     "context_header": """SELECT o_orderkey, '[File: o' || o_orderkey || ' | Posted: ' || strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 0 THEN ' | Section: ' || o_orderpriority ELSE '' END || ']' AS header FROM orders""",
     "normalised_text": r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))) AS norm_md5 FROM documents",
     "catalog_years": "SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders",
-    "bm25": f"""WITH t AS (SELECT source, doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), x -> length(x) >= 2 AND x NOT IN ({", ".join(f"'{x}'" for x in T.STOP)})) AS raw FROM documents),
- k AS (SELECT source, doc_id, unnest(list_transform(raw, x -> CASE WHEN x LIKE '%ies' AND length(x) > 4 THEN x[:-4] || 'y' WHEN x LIKE '%ing' AND length(x) > 4 THEN x[:-4] WHEN x LIKE '%ed' AND length(x) > 3 THEN x[:-3] WHEN x LIKE '%s' AND x NOT LIKE '%ss' AND length(x) > 3 THEN x[:-2] ELSE x END)) AS term FROM t),
+    "bm25": f"""WITH t AS (SELECT source, doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN ({", ".join(f"'{x}'" for x in T.STOP)})) AS raw FROM documents),
+ k AS (SELECT source, doc_id, unnest(list_transform(raw, lambda x: CASE WHEN x LIKE '%ies' AND length(x) > 4 THEN x[:-4] || 'y' WHEN x LIKE '%ing' AND length(x) > 4 THEN x[:-4] WHEN x LIKE '%ed' AND length(x) > 3 THEN x[:-3] WHEN x LIKE '%s' AND x NOT LIKE '%ss' AND length(x) > 3 THEN x[:-2] ELSE x END)) AS term FROM t),
  n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), tf AS (SELECT source, doc_id, term, count(*) AS tf FROM k WHERE term IN ('erth', 'stupid', 'thing') GROUP BY ALL),
  s AS (SELECT tf.*, n, count(*) OVER (PARTITION BY tf.source, term) AS df FROM tf JOIN n USING (source))
  SELECT source AS query_id, doc_id AS key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)), 6) AS score FROM s GROUP BY 1, 2""",
