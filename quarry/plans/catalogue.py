@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import indexing, retrieval
+from ..operators import chunking, evaluation, indexing, retrieval
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -99,7 +99,32 @@ def bm25(s, d):
     return retrieval.bm25(c, q).select("query_id", "key", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, two_lane_rrf, relevance_cut, context_fit, legacy_chunks, trim_overlap, neighbours, adjacent_runs, store_stats, incremental_plan, md_plain, context_header, normalised_text, catalog_years, bm25)}
+def snippet_containment(s, d):
+    return evaluation.locate(_t(s, d, "documents"), _t(s, d, "benchmark"))
+
+
+def eval_metrics(s, d):
+    e = _t(s, d, "events").select((F.col("event_id") % 5 != 0).alias("scored"), (F.col("event_id") % 3 == 0).alias("hit"), (F.col("event_id") % 2 == 0).alias("right_file"), F.when(F.col("event_id") % 4 != 1, F.col("event_id") % 7 + 1).alias("pool_rank"), F.col("value").alias("latency_ms"))
+    m = evaluation.metrics(e)
+    return m.select("scored", "hits", "filter_loss", *[F.round(c, 6).alias(c) for c in ("hit_rate", "passage_accuracy", "mrr", "latency_median", "latency_p95")])
+
+
+def wording_leak(s, d):
+    x = _t(s, d, "documents").select("doc_id", "text", F.substring("text", 1, 60).alias("q"))
+    y = x.select((F.col("doc_id") - 1).alias("doc_id"), F.col("q").alias("question"))
+    return x.join(y, "doc_id").select("doc_id", F.round(evaluation.leak_ratio(F.col("question"), F.col("text"), ["the", "of", "and", "la", "de"]), 6).alias("ratio"))
+
+
+def round_robin_sample(s, d):
+    x = _t(s, d, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").alias("key"))
+    return evaluation.round_robin(x, 42, 30).select("file_path", "key", "turn")
+
+
+def structured_chunks(s, d):
+    return chunking.chunk_documents(_t(s, d, "documents"), 128).select("doc_id", "chunk_index", "start_index", "end_index", F.md5("text").alias("text_md5"))
+
+
+QUERIES = {f.__name__: f for f in (vector_topk, two_lane_rrf, relevance_cut, context_fit, legacy_chunks, trim_overlap, neighbours, adjacent_runs, store_stats, incremental_plan, md_plain, context_header, normalised_text, catalog_years, bm25, snippet_containment, eval_metrics, wording_leak, round_robin_sample, structured_chunks)}
 
 _LANE = """lane AS (SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id AS key, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, c.vec_id) AS rank
@@ -144,4 +169,17 @@ SQL = {
  n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), tf AS (SELECT source, doc_id, term, count(*) AS tf FROM k WHERE term IN ('erth', 'stupid', 'thing') GROUP BY ALL),
  s AS (SELECT tf.*, n, count(*) OVER (PARTITION BY tf.source, term) AS df FROM tf JOIN n USING (source))
  SELECT source AS query_id, doc_id AS key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)), 6) AS score FROM s GROUP BY 1, 2""",
+    "snippet_containment": r"""WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents),
+ b AS (SELECT item_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS s FROM benchmark)
+ SELECT doc_id, item_id FROM d, b WHERE trim(s) <> '' AND contains(t, s)""",
+    "eval_metrics": """WITH e AS (SELECT event_id % 5 <> 0 AS scored, event_id % 3 = 0 AS hit, event_id % 2 = 0 AS rf, CASE WHEN event_id % 4 <> 1 THEN event_id % 7 + 1 END AS pr, value AS ms FROM events),
+ x AS (SELECT *, count(*) FILTER (scored) OVER () AS n, row_number() OVER (PARTITION BY scored ORDER BY ms) AS k FROM e)
+ SELECT count(*) FILTER (scored) AS scored, count(*) FILTER (scored AND hit) AS hits, count(*) FILTER (scored AND NOT hit AND pr IS NOT NULL) AS filter_loss,
+ round(count(*) FILTER (scored AND hit) / count(*) FILTER (scored)::DOUBLE, 6) AS hit_rate,
+ round(count(*) FILTER (scored AND hit) / (count(*) FILTER (scored AND hit) + count(*) FILTER (scored AND rf AND NOT hit))::DOUBLE, 6) AS passage_accuracy,
+ round(avg(coalesce(1.0::DOUBLE / pr, 0)) FILTER (scored), 6) AS mrr, round(median(ms) FILTER (scored), 6) AS latency_median, round(max(ms) FILTER (scored AND k = ceil(0.95 * n)), 6) AS latency_p95 FROM x""",
+    "wording_leak": r"""WITH m AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) > 1 AND x NOT IN ('the', 'of', 'and', 'la', 'de')) AS c,
+ list_filter(string_split(trim(regexp_replace(lower(text[1:60]), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) > 1 AND x NOT IN ('the', 'of', 'and', 'la', 'de')) AS q FROM documents)
+ SELECT a.doc_id, round(CASE WHEN len(b.q) = 0 THEN 1.0 ELSE len(list_filter(b.q, lambda x: list_contains(a.c, x))) / len(b.q)::DOUBLE END, 6) AS ratio FROM m a JOIN m b ON b.doc_id = a.doc_id + 1""",
+    "round_robin_sample": "SELECT file_path, key, turn::INT AS turn FROM (SELECT source AS file_path, doc_id AS key, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS turn FROM documents) ORDER BY turn, md5('42:' || file_path), file_path LIMIT 30",
 }
