@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,11 +34,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
-
-def local_path(uri: str) -> str:
-    return uri[5:].replace("//", "/", 1) if uri.startswith("file:") else uri
-
-
-def ensure(path: str) -> str:
-    os.makedirs(path, exist_ok=True)
-    return path

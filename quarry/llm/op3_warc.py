@@ -11,19 +11,20 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import os
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
-from .common import ensure, local_path, read, shared_dir
+from .common import read, shared_dir
 
 LEAST_BYTES = 100
+# any file system that pyarrow reaches: file, hdfs, s3, gcs
 SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -33,12 +34,14 @@ def write_archive(pages: DataFrame, folder: str) -> None:
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
     first = rows.where(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     rows = rows.join(first, "digest", "left")
-    ensure(folder)
+    store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid = TaskContext.get().partitionId()
-        tmp, n = f"{folder}/.{pid}-{uuid.uuid4().hex}", 0
-        with open(tmp, "wb") as out:
+        store, base = fs.FileSystem.from_uri(folder)
+        tmp, n = f"{base}/.{pid}-{uuid.uuid4().hex}", 0
+        with store.open_output_stream(tmp, compression=None) as out:
             for pdf in batches:
                 for r in pdf.itertuples(index=False):
                     again = pd.notna(r.first) and r.first != r.page_id
@@ -48,7 +51,7 @@ def write_archive(pages: DataFrame, folder: str) -> None:
                         head.append(f"WARC-Refers-To: <urn:page:{int(r.first)}>")
                     out.write(gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 6, mtime=0))
                     n += 1
-        os.replace(tmp, f"{folder}/part-{pid:06d}.warc.gz")
+        store.move(tmp, f"{base}/part-{pid:06d}.warc.gz")
         yield pd.DataFrame({"n": [n]})
 
     rows.select("page_id", "url", "html", "digest", "size", "first").mapInPandas(write, "n long").agg(F.sum("n")).collect()
@@ -71,13 +74,15 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [Archive(f"{self.folder}/{x}") for x in sorted(os.listdir(self.folder)) if x.endswith(".warc.gz")]
+        store, base = fs.FileSystem.from_uri(self.folder)
+        return [Archive(x.path) for x in sorted(store.get_file_info(fs.FileSelector(base)), key=lambda x: x.path) if x.path.endswith(".warc.gz")]
 
     def read(self, partition):
         if not hasattr(partition, "path"):
             return
         number = lambda x: int(x[10:-1]) if x and x[10:-1] else None
-        with gzip.open(partition.path, "rb") as f:
+        store, _ = fs.FileSystem.from_uri(self.folder)
+        with gzip.GzipFile(fileobj=store.open_input_file(partition.path)) as f:
             while f.readline():
                 head = {}
                 while (line := f.readline().rstrip(b"\r\n")):
@@ -115,7 +120,7 @@ def read_archive(spark: SparkSession, folder: str, payload: bool = False) -> Dat
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{local_path(shared_dir(spark))}/warc-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(read(spark, sf_dir, "pages"), folder)
     return read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -33,6 +33,16 @@ def test_sql(spark):
     same(op3_warc.op3_warc(spark, SF), op3_warc.SQL, SF)
 
 
+def test_warc_round_trip(spark):
+    pages = spark.createDataFrame([(1, "u", "é" * 60), (2, "v", "é" * 60), (3, None, None), (4, "w", "short"), (5, "w", "short")], "page_id long, url string, html string")
+    folder = f"{op3_warc.shared_dir(spark)}/test-{op3_warc.uuid.uuid4().hex}"
+    op3_warc.write_archive(pages, folder)
+    rows = {r["page_id"]: r for r in op3_warc.read_archive(spark, folder, payload=True).collect()}
+    assert bytes(rows[1]["payload"]).decode() == "é" * 60 and rows[2]["refers_to"] == 1 and rows[2]["payload_bytes"] == 120
+    assert [rows[i]["record_type"] for i in range(1, 6)] == ["response", "revisit", "response", "response", "response"]
+    assert op3_warc.read_archive(spark, folder).where("record_type = 'revisit'").select("page_id").collect() == [(2,)]
+
+
 def test_license():
     got = op1_license.licenses("a b. This work is licensed under the GNU General Public License, version 3. c")
     assert [x[0] for x in got] == ["GPL-3.0"] and got[0][1] == 1.0
