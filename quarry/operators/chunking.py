@@ -60,8 +60,9 @@ def structured_chunks(md: str, size: int = 512, file_name: str = "") -> list[dic
             pack_path = pack_path if pack else path
             pack, count = pack + lines, count + n
             continue
-        words = [w for x in lines for w in x.split()]
-        ends = [i == len(x.split()) - 1 for x in lines for i in range(len(x.split()))]
+        split = [x.split() for x in lines]
+        words = [w for x in split for w in x]
+        ends = [i == len(x) - 1 for x in split for i in range(len(x))]
         limit = max(math.ceil(size / 2), size)
         while words:
             k = _cut(words, ends, limit)
