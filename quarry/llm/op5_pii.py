@@ -91,9 +91,9 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     pairs = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
     entities = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ne"))
     pairs = stored(pairs.join(entities, "entity"), "pii-pairs")
-    terms = pairs.select("term").distinct()
+    # counted for every word before the join, so the join meets one row a word and not one a document
     in_doc = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([^\W\d_]{3,})"), 1))).alias("term"))
-    df = in_doc.join(F.broadcast(terms) if terms.count() <= 100_000 else terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+    df = in_doc.groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
     pmi = F.log2(F.col("both") * n_docs / (F.col("ne") * F.col("nt")))
     rules = pairs.join(df, "term").where(pmi >= disclosure * F.log2(n_docs / F.col("ne"))).where(F.col("ne") < n_docs).select("entity", "term")
     extra = near.join(rules, ["entity", "term"]).select("doc_id", "a", "b").distinct()
