@@ -1,16 +1,18 @@
 """SimHash near duplicates, linked exactly with vantage-point trees.
 
-Distinct fingerprints are routed through a vantage-point tree fitted on a bounded sample; a
-fingerprint within the radius of a node's boundary also goes to the inner shard, so every close
-pair meets in one shard. Shards over TASK rows are cut into chunks compared two by two. Inside a
-task a vantage-point tree prunes branches by the triangle inequality and returns stars of the
-local components, never all pairs. Components come from large-star/small-star rounds. Null and
-wordless texts have fingerprint zero; repeated rows share a class; an empty table gives none.
+Two fingerprints within 3 bits differ in at most 1 bit in one of their halves. Each half has a
+vantage-point tree, fitted on a bounded sample of SAMPLE fingerprints, that routes the distinct
+fingerprints by the Hamming distance of that half; a fingerprint within the half's radius of a
+node's boundary also goes to the inner shard, so every close pair meets in one shard. Shards over
+TASK rows are cut into chunks compared two by two. Inside a task the tree goes on, prunes branches
+by the triangle inequality, checks all 64 bits and returns stars of the local components, never
+all pairs. Components come from large-star/small-star rounds. Null and wordless texts have
+fingerprint zero; repeated rows share a class; an empty table gives none.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import read, stored
 
-RADIUS, WIDTH, SAMPLE, SHARD, TASK, LEAF = 3, 3, 8192, 2048, 1024, 256
+RADIUS, WIDTH, SAMPLE, TASK, LEAF, PROGRESS = 3, 3, 65536, 4096, 128, 0.95
+HALVES, ALL = (0xFFFFFFFF, 0xFFFFFFFF00000000), 0xFFFFFFFFFFFFFFFF
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -39,34 +42,43 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * bits > n).view(">i8")[0])
 
 
-def plant(points: np.ndarray, depth: int) -> dict | None:
-    if depth == 0 or len(points) < 2:
-        return None
-    d = np.bitwise_count(points ^ points[0])
-    mu = int(np.sort(d)[(len(d) - 1) // 2])
-    return {"v": points[0], "mu": mu, "in": plant(points[d <= mu][::-1], depth - 1), "out": plant(points[d > mu], depth - 1)}
+def split(points: np.ndarray, mask: int, radius: int) -> tuple[int, int, np.ndarray, np.ndarray] | None:
+    """Vantage point, boundary and both sides, the inner one with its overlap; None if that parts too little."""
+    v = points[len(points) // 2]
+    d = np.bitwise_count((points ^ v) & np.uint64(mask))
+    mu = int(np.partition(d, (len(d) - 1) // 2)[(len(d) - 1) // 2])
+    inner, outer = points[d <= mu + radius], points[d > mu]
+    return (int(v), mu, inner, outer) if len(inner) <= PROGRESS * len(points) else None
 
 
-def route(node: dict | None, points: np.ndarray, at: np.ndarray, name: int, radius: int, out: list) -> None:
+def plant(points: np.ndarray, most: float, mask: int, radius: int, leaf: Iterator[int]) -> tuple | int:
+    """A node (vantage point, boundary, inner, outer) or the name of a leaf, of about `most` sample points."""
+    parts = split(points, mask, radius) if len(points) > max(most, 2) else None
+    if not parts:
+        return next(leaf)
+    v, mu, inner, outer = parts
+    return v, mu, plant(inner, most, mask, radius, leaf), plant(outer, most, mask, radius, leaf)
+
+
+def route(node: tuple | int, points: np.ndarray, at: np.ndarray, mask: int, radius: int, out: list) -> None:
     if not len(at):
         return
-    if node is None:
-        out.append((at, np.full(len(at), name, np.int64)))
+    if isinstance(node, int):
+        out.append((at, np.full(len(at), node, np.int64)))
         return
-    d = np.bitwise_count(points[at] ^ node["v"])
-    route(node["in"], points, at[d <= node["mu"] + radius], 2 * name, radius, out)
-    route(node["out"], points, at[d > node["mu"]], 2 * name + 1, radius, out)
+    v, mu, inner, outer = node
+    d = np.bitwise_count((points[at] ^ np.uint64(v)) & np.uint64(mask))
+    route(inner, points, at[d <= mu + radius], mask, radius, out)
+    route(outer, points, at[d > mu], mask, radius, out)
 
 
-def stars(points: np.ndarray, radius: int, out: list) -> None:
+def stars(points: np.ndarray, mask: int, radius: int, out: list) -> None:
     """Appends (member, smallest of its local component) arrays."""
     if len(points) > LEAF:
-        d = np.bitwise_count(points ^ points[len(points) // 2])
-        mu = int(np.sort(d)[(len(d) - 1) // 2])
-        inner, outer = points[d <= mu + radius], points[d > mu]
-        if len(inner) < len(points):
-            stars(inner, radius, out)
-            stars(outer, radius, out)
+        parts = split(points, mask, radius // 2) or split(points, ALL, radius)
+        if parts:
+            stars(parts[2], mask, radius, out)
+            stars(parts[3], mask, radius, out)
             return
     near = np.bitwise_count(points[:, None] ^ points[None, :]) <= radius
     todo = near.sum(1) > 1
@@ -87,35 +99,37 @@ def stars(points: np.ndarray, radius: int, out: list) -> None:
 
 def local_links(pdf: pd.DataFrame, radius: int = RADIUS) -> pd.DataFrame:
     points, out = np.unique(pdf["fp"].to_numpy(np.int64).view(np.uint64)), []
-    stars(points, radius, out)
+    stars(points, HALVES[int(pdf["shard"].iloc[0]) % 2], radius, out)
     if not out:
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     a, b = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
     return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).query("a != b").drop_duplicates()
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, task: int = TASK) -> DataFrame:
     """Links (a > b) between distinct fingerprints whose closure is that of all pairs within the radius."""
     n = fps.count()
-    depth = max(0, math.ceil(math.log2(max(1, n) / SHARD)))
     pick = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = plant(pick, depth)
+    most = task * len(pick) / max(1, n)
+    trees = [plant(pick, most, m, radius // 2, itertools.count(i, 2)) for i, m in enumerate(HALVES)]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             points, out = pdf["fp"].to_numpy(np.int64).view(np.uint64), []
-            route(tree, points, np.arange(len(points)), 1, radius, out)
+            for tree, mask in zip(trees, HALVES, strict=True):
+                route(tree, points, np.arange(len(points)), mask, radius // 2, out)
             if out:
                 at, name = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pd.DataFrame({"shard": name, "fp": points[at].view(np.int64)})
 
     rows = stored(fps.select("fp").mapInPandas(deal, "shard long, fp long"), "simhash-shards")
     # one row per tree leaf: bounded by the sample
-    sizes = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / TASK).cast("int").alias("k"))
+    size = F.count(F.lit(1))
+    sizes = rows.groupBy("shard").agg(F.when(size <= task, 1).otherwise(F.ceil(2 * size / task)).cast("int").alias("k"))
     rows = rows.join(F.broadcast(sizes), "shard").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.withColumn("o", F.when((F.col("o") == F.col("c")) & (F.col("k") > 1), F.pmod(F.col("c") + 1, F.col("k"))).otherwise(F.col("o")))
-    rows = rows.select("shard", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "fp").distinct()
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("k") - 2))))
+    rows = rows.withColumn("o", F.when(F.col("k") > 1, F.col("o") + (F.col("o") >= F.col("c")).cast("int")).otherwise(0))
+    rows = rows.select("shard", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "fp")
     return rows.groupBy("shard", "x", "y").applyInPandas(lambda p: local_links(p, radius), "a long, b long").distinct()
 
 

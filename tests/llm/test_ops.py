@@ -118,11 +118,13 @@ def test_simhash(spark, docs):
 def test_simhash_links_through_many_shards(spark, monkeypatch):
     rng = np.random.default_rng(1)
     fps = rng.integers(-(2**63), 2**63, 300)
-    fps = np.unique(np.concatenate([fps, *[fps[:100] ^ (np.int64(1) << rng.integers(0, 63, 100)) for _ in range(4)]]))
-    for k, v in {"SHARD": 32, "TASK": 24, "LEAF": 8}.items():
-        monkeypatch.setattr(op6_simhash, k, v)
+    bit = lambda n: np.int64(1) << rng.integers(0, 63, n)
+    near = [fps[:100] ^ bit(100) ^ bit(100) ^ bit(100) for _ in range(4)]
+    same_half = (fps[0] & np.int64(0xFFFFFFFF)) | (rng.integers(0, 2**31, 150) << 32)
+    fps = np.unique(np.concatenate([fps, *near, same_half, fps[0] ^ bit(40) ^ bit(40) ^ bit(40) ^ bit(40)]))
+    monkeypatch.setattr(op6_simhash, "LEAF", 8)
     df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
-    star = {r["a"]: r["b"] for r in op6_simhash.components(op6_simhash.links(df)).collect()}
+    star = {r["a"]: r["b"] for r in op6_simhash.components(op6_simhash.links(df, task=24)).collect()}
     order = sorted(int(x) for x in fps)
     root = components([x & (2**64 - 1) for x in order])
     assert {x: order[c] for x, c in zip(order, root, strict=True)} == {x: star.get(x, x) for x in order}
