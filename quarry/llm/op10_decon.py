@@ -43,20 +43,23 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per aligned run: doc_id, item_id, lo, hi (word positions, inclusive)."""
     items = bench.select(F.col("item_id").cast("string").alias("item_id"), words(bench["text"]).alias("toks")).where(F.size("toks") > 0)
     terms = items.select("item_id", "toks", F.size("toks").alias("n"), F.posexplode("toks").alias("j", "term"))
+    il, ir = around(F.col("toks"), F.col("j"), width)
+    terms = terms.select("item_id", "n", "j", "term", il.alias("il"), ir.alias("ir"))
     vocab = terms.select("term").distinct()
     n_vocab = vocab.count()
     df = docs.select(F.explode(words(docs["text"])).alias("term")).join(small(vocab, n_vocab), "term").groupBy("term").count()
     ranked = terms.join(stored(df, "decon-df"), "term")  # a term that the corpus lacks cannot match, nor can its windows
     whole = terms.join(ranked.select("item_id", "j", "count"), ["item_id", "j"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     span = Window.partitionBy("item_id").orderBy("j").rowsBetween(0, width - 1)
-    best = whole.withColumn("best", F.min(F.struct("count", "j", "term")).over(span)).where(F.col("j") <= F.greatest(F.col("n") - width, F.lit(0)))
-    best = best.where(F.col("best.count") > 0).select("item_id", "toks", "n", F.col("best.j").alias("j"), F.col("best.term").alias("term")).distinct()
-    il, ir = around(F.col("toks"), F.col("j"), width)
-    anchors = stored(best.select("item_id", "n", "j", "term", il.alias("il"), ir.alias("ir")), "decon-anchors")
+    best = whole.withColumn("best", F.min(F.struct("count", "j", "term", "il", "ir")).over(span)).where(F.col("j") <= F.greatest(F.col("n") - width, F.lit(0)))
+    anchors = stored(best.where(F.col("best.count") > 0).select("item_id", "n", *[F.col(f"best.{c}").alias(c) for c in ("j", "term", "il", "ir")]).distinct(), "decon-anchors")
     keys = anchors.select("term").distinct()
     tokens = docs.select("doc_id", words(docs["text"]).alias("toks")).select("doc_id", "toks", F.posexplode("toks").alias("pos", "term"))
     dl, dr = around(F.col("toks"), F.col("pos"), width)
-    postings = stored(tokens.join(small(keys, n_vocab), "term").select("term", "doc_id", "pos", dl.alias("dl"), dr.alias("dr")), "decon-index")
+    cut = ["term", "doc_id", "pos", dl.alias("dl"), dr.alias("dr")]
+    # a shuffled join must not carry the whole text beside each of its words
+    found = tokens.join(small(keys, n_vocab), "term").select(*cut) if n_vocab <= MAX_BROADCAST_TERMS else tokens.select(*cut).join(keys, "term")
+    postings = stored(found, "decon-index")
     near = postings.join(small(anchors, anchors.count()), "term").where((F.get("dl", F.lit(0)) == F.get("il", F.lit(0))) | (F.get("dr", F.lit(0)) == F.get("ir", F.lit(0))) | (F.col("n") == 1))
     runs = near.select("doc_id", "item_id", "pos", "n", agreeing(F.col("dl"), F.col("il")).alias("l"), agreeing(F.col("dr"), F.col("ir")).alias("r"))
     runs = runs.where(F.col("l") + F.col("r") + 1 >= F.least(F.col("n"), F.lit(width)))
