@@ -29,6 +29,8 @@ TEMPLATES = {
     "All-Rights-Reserved": "all rights reserved",
 }
 KEY = {"Apache-2.0": "apache", "MIT": "mit", "GPL-3.0": "gnu", "CC-BY-NC-4.0": "cc", "All-Rights-Reserved": "reserved"}
+# lower case by code point, so spans are those of the text
+LOWER = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -66,7 +68,7 @@ def align(a: list[str], b: list[str], a0: int, a1: int, b0: int, b1: int, out: l
 
 
 def licenses(text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
-    low = (text or "").lower()
+    low = (text or "").translate(LOWER)
     found = []
     if not any(k in low for k in KEY.values()):
         return found

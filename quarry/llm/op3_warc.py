@@ -4,7 +4,7 @@ The writer puts one record per row into gzip members, one archive per partition,
 when whole, so a retried task replaces its file. The reader plans one partition per archive, takes
 equality filters on record_type and page_id, parses headers first and leaves the payload of
 records that fail a filter (or whose payload column isn't wanted) undecoded. Null html is an empty
-payload; repeated page_ids write repeated records; an empty table writes archives without records.
+payload; white space in a url becomes one space, since a header is one line; repeated page_ids write repeated records; an empty table writes archives without records.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def write_archive(pages: DataFrame, folder: str) -> None:
                 for r in pdf.itertuples(index=False):
                     again = pd.notna(r.first) and r.first != r.page_id
                     body = b"" if again else r.html.encode("utf-8", "surrogatepass")
-                    head = ["WARC/1.1", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: <urn:page:{'' if pd.isna(r.page_id) else int(r.page_id)}>", f"WARC-Target-URI: {'' if r.url is None else r.url}", f"WARC-Payload-Digest: sha256:{r.digest}", f"X-Payload-Bytes: {r.size}", f"Content-Length: {len(body)}"]
+                    head = ["WARC/1.1", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: <urn:page:{'' if pd.isna(r.page_id) else int(r.page_id)}>", f"WARC-Target-URI: {'' if r.url is None else ' '.join(r.url.split())}", f"WARC-Payload-Digest: sha256:{r.digest}", f"X-Payload-Bytes: {r.size}", f"Content-Length: {len(body)}"]
                     if again:
                         head.append(f"WARC-Refers-To: <urn:page:{int(r.first)}>")
                     out.write(gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 6, mtime=0))
