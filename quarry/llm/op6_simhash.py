@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import read, stored
 
-RADIUS, WIDTH, SAMPLE, TASK, LEAF, PROGRESS = 3, 3, 65536, 4096, 128, 0.95
+RADIUS, WIDTH, SAMPLE, TASK, LEAF, WORTH = 3, 3, 65536, 4096, 128, 0.85
 HALVES, ALL = (0xFFFFFFFF, 0xFFFFFFFF00000000), 0xFFFFFFFFFFFFFFFF
 
 
@@ -43,12 +43,12 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
 
 
 def split(points: np.ndarray, mask: int, radius: int) -> tuple[int, int, np.ndarray, np.ndarray] | None:
-    """Vantage point, boundary and both sides, the inner one with its overlap; None if that parts too little."""
+    """Vantage point, boundary and both sides, the inner one with its overlap; None if that leaves over WORTH of all pairs."""
     v = points[len(points) // 2]
     d = np.bitwise_count((points ^ v) & np.uint64(mask))
     mu = int(np.partition(d, (len(d) - 1) // 2)[(len(d) - 1) // 2])
     inner, outer = points[d <= mu + radius], points[d > mu]
-    return (int(v), mu, inner, outer) if len(inner) <= PROGRESS * len(points) else None
+    return (int(v), mu, inner, outer) if len(inner) ** 2 + len(outer) ** 2 <= WORTH * len(points) ** 2 else None
 
 
 def plant(points: np.ndarray, most: float, mask: int, radius: int, leaf: Iterator[int]) -> tuple | int:
@@ -80,7 +80,9 @@ def stars(points: np.ndarray, mask: int, radius: int, out: list) -> None:
             stars(parts[2], mask, radius, out)
             stars(parts[3], mask, radius, out)
             return
-    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= radius
+    near = np.empty((len(points), len(points)), bool)
+    for i in range(0, len(points), LEAF):
+        near[i : i + LEAF] = np.bitwise_count(points[i : i + LEAF, None] ^ points[None, :]) <= radius
     todo = near.sum(1) > 1
     for i in np.flatnonzero(todo):
         if not todo[i]:
