@@ -42,12 +42,17 @@ def train(rows: pd.DataFrame, k: int = CENTROIDS) -> dict:
     rows = rows[rows["text"].map(has_letter)].sort_values(["lang", "h"]) if len(rows) else rows
     if not len(rows):
         return {"langs": [], "idf": np.ones(DIM, np.float32), "centroids": np.zeros((0, DIM), np.float32), "floor": []}
-    x = np.stack([vector(t) for t in rows["text"]])
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x = unit(x * idf)
+    # the vectors are made twice, so that only one language's are held at once
+    seen = np.zeros(DIM, np.int64)
+    for t in rows["text"]:
+        seen += vector(t) > 0
+    idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + 1
     langs, cents, floor = [], [], []
     for lang in sorted(rows["lang"].unique()):
-        own = x[(rows["lang"] == lang).to_numpy()]
+        texts = rows.loc[rows["lang"] == lang, "text"]
+        own = np.empty((len(texts), DIM), np.float32)
+        for i, t in enumerate(texts):
+            own[i] = unit(vector(t) * idf)
         c = own[np.linspace(0, len(own) - 1, min(k, len(own))).astype(int)]
         for _ in range(ROUNDS):
             near = (own @ c.T).argmax(1)
