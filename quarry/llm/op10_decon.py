@@ -48,8 +48,8 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = WIDTH) -> DataFrame:
     vocab = terms.select("term").distinct()
     n_vocab = vocab.count()
     df = docs.select(F.explode(words(docs["text"])).alias("term")).join(small(vocab, n_vocab), "term").groupBy("term").count()
-    ranked = terms.join(stored(df, "decon-df"), "term")  # a term that the corpus lacks cannot match, nor can its windows
-    whole = terms.join(ranked.select("item_id", "j", "count"), ["item_id", "j"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    # a term that the corpus lacks cannot match, nor can its windows
+    whole = terms.join(small(stored(df, "decon-df"), n_vocab), "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     span = Window.partitionBy("item_id").orderBy("j").rowsBetween(0, width - 1)
     best = whole.withColumn("best", F.min(F.struct("count", "j", "term", "il", "ir")).over(span)).where(F.col("j") <= F.greatest(F.col("n") - width, F.lit(0)))
     anchors = stored(best.where(F.col("best.count") > 0).select("item_id", "n", *[F.col(f"best.{c}").alias(c) for c in ("j", "term", "il", "ir")]).distinct(), "decon-anchors")
