@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    gone = op6_simhash.near_duplicates(docs, width=5).where("doc_id > component_id").select("doc_id").distinct()
+    gone = op6_simhash.similar_documents(docs).where("doc_id > component_id").select("doc_id").distinct()
     return by_id(docs, gone, "left_anti").select(*COLUMNS)
 
 

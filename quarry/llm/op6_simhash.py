@@ -23,18 +23,25 @@ from pyspark.sql import functions as F
 
 from .common import read, stored
 
+SIMILARITY, BANDS, DEPTH = 0.8, 28, 7
 RADIUS, WIDTH, SAMPLE, TASK, LEAF, WORTH = 3, 3, 65536, 4096, 128, 0.85
 HALVES, ALL = (0xFFFFFFFF, 0xFFFFFFFF00000000), 0xFFFFFFFFFFFFFFFF
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The hashes of all shingles, repeats included."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
+    grams = map(b" ".join, zip(*(w[i:] for i in range(width)), strict=False)) if len(w) >= width else [b" ".join(w)] if w else []
+    one = xxhash.xxh64_intdigest
+    return np.array([one(g, 42) for g in grams], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    h = shingles(text, width).astype(">u8")
+    if not len(h):
         return 0
-    grams = map(b" ".join, zip(*(w[i:] for i in range(width)), strict=False)) if len(w) >= width else [b" ".join(w)]
     bits = np.zeros(64, np.int64)
-    n, one = 0, xxhash.xxh64_intdigest
-    h = np.array([one(g, 42) for g in grams], ">u8")
+    n = 0
     for i in range(0, len(h), 4096):
         part = h[i : i + 4096]
         bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -166,6 +173,54 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     return rows.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """One key a band, of the least shingles under DEPTH orders each: equal with chance similarity ** DEPTH."""
+    factors = np.random.default_rng(42).integers(0, 2**63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(factors), ALL, np.uint64)
+    for i in range(0, len(grams), 2048):
+        np.minimum(least, (grams[i : i + 2048, None] * factors).min(0), out=least)
+    mixed = (least ^ (least >> np.uint64(29))) * factors
+    return (mixed.reshape(BANDS, DEPTH).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id: linked fingerprints, and texts whose shingle sets have the Jaccard similarity.
+
+    Fingerprints within RADIUS bits are linked first. One document of each class then gets band keys;
+    those that share a key are compared, by their whole shingle sets, with two documents of the bucket
+    (the smallest id, and one drawn by hash), and the links found join the classes."""
+    rows = stored(near_duplicates(docs, width).select("doc_id", "component_id").distinct(), "simhash-classes")
+    own = rows.where("doc_id = component_id").select(F.col("doc_id").alias("k"))
+    left = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("k"), "left_semi")
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 1024):
+                part = pdf.iloc[i : i + 1024]
+                got = [(d, band_keys(g)) for d, t in zip(part["doc_id"], part["text"], strict=True) if len(g := shingles(t, width))]
+                if got:
+                    yield pd.DataFrame({"doc_id": np.repeat([d for d, _ in got], BANDS), "key": np.concatenate([x for _, x in got])})
+
+    @F.pandas_udf("array<long>")
+    def gram_sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingles(t, width)).view(np.int64) for t in texts], dtype=object)
+
+    bands = stored(left.mapInPandas(keys, "doc_id long, key long"), "simhash-bands")
+    drawn = F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), F.col("doc_id").alias("d")))
+    buckets = bands.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("z"), drawn.alias("y")).where("x < z").select("key", F.array("x", "y.d").alias("centres"))
+    pairs = bands.join(buckets, "key").select("doc_id", F.explode("centres").alias("c")).where("doc_id != c")
+    pairs = stored(pairs.select(F.greatest("doc_id", "c").alias("a"), F.least("doc_id", "c").alias("b")).distinct(), "simhash-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    sets = left.join(ids, F.col("doc_id") == F.col("k"), "left_semi").select("doc_id", gram_sets("text").alias("g"))
+    sets = stored(sets, "simhash-sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
+    common = F.size(F.array_intersect("ga", "gb"))
+    # the length test spares the intersection where sizes alone rule the similarity out
+    near = both.where(F.least(F.size("ga"), F.size("gb")) >= similarity * F.greatest(F.size("ga"), F.size("gb"))).where(common >= similarity * (F.size("ga") + F.size("gb") - common))
+    star = components(near.select("a", "b").distinct()).select(F.col("a").alias("component_id"), F.col("b").alias("root"))
+    return rows.join(star, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -130,6 +130,27 @@ def test_simhash_links_through_many_shards(spark, monkeypatch):
     assert {x: order[c] for x, c in zip(order, root, strict=True)} == {x: star.get(x, x) for x in order}
 
 
+def test_similar_documents_meet(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    sets = {r["doc_id"]: set(op6_simhash.shingles(r["text"], 5).tolist()) for r in rows}
+    at, common = {}, {}
+    for d, s in sets.items():
+        for g in s:
+            at.setdefault(g, []).append(d)
+    for ds in at.values():
+        for i, a in enumerate(ds):
+            for b in ds[:i]:
+                common[a, b] = common.get((a, b), 0) + 1
+    want = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    assert any(sets[a] != sets[b] for a, b in want)
+    docs = spark.createDataFrame(rows).select("doc_id", "text")
+    got = {r["doc_id"]: r["component_id"] for r in op6_simhash.similar_documents(docs).collect()}
+    assert len(got) == len(rows) and all(got[a] == got[b] for a, b in want)
+    plain = {r["doc_id"]: r["component_id"] for r in op6_simhash.near_duplicates(docs, 5).collect()}
+    linked = lambda a, b: (a, b) in common and common[a, b] >= 0.5 * len(sets[a] | sets[b])
+    assert all(got[d] == plain[d] or any(linked(d, e) or linked(e, d) for e in got if got[e] == got[d]) for d in got)
+
+
 def test_shards(spark, docs):
     rows = op7_shards.op7_shards(spark, SF).collect()
     assert len(rows) == docs.count()
@@ -199,7 +220,7 @@ def test_decontamination(spark, docs):
 def test_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "one"), (2, None), (3, "")], "item_id long, text string")
     n = len(ODD)
-    for df in (op1_license.scan(odd), op5_pii.sanitise(odd), op6_simhash.near_duplicates(odd), op7_shards.shard(odd, [1.0, 2.0]), op8_exact.exact_groups(odd), op9_mix.mix(odd)):
+    for df in (op1_license.scan(odd), op5_pii.sanitise(odd), op6_simhash.near_duplicates(odd), op6_simhash.near_duplicates(odd, 5), op7_shards.shard(odd, [1.0, 2.0]), op8_exact.exact_groups(odd), op9_mix.mix(odd)):
         assert df.count() == n
     got = op10_decon.decontaminate(odd, bench).collect()
     assert len(got) == n and sorted(r["doc_id"] for r in got if r["contaminated"]) == [3, 3, 7]
@@ -209,7 +230,7 @@ def test_odd_rows(spark, odd):
 def test_empty(spark, odd):
     none = odd.limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
-    for df in (op1_license.scan(none), op5_pii.sanitise(none), op6_simhash.near_duplicates(none), op7_shards.shard(none, [1.0]), op8_exact.exact_groups(none), op10_decon.decontaminate(none, bench), op4_language.predict(none, op4_language.train(op4_language.sample(none)))):
+    for df in (op1_license.scan(none), op5_pii.sanitise(none), op6_simhash.near_duplicates(none), op6_simhash.similar_documents(none), op7_shards.shard(none, [1.0]), op8_exact.exact_groups(none), op10_decon.decontaminate(none, bench), op4_language.predict(none, op4_language.train(op4_language.sample(none)))):
         assert df.count() == 0
 
 
