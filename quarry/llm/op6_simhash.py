@@ -201,9 +201,11 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
                 if got:
                     yield pd.DataFrame({"doc_id": np.repeat([d for d, _ in got], BANDS), "key": np.concatenate([x for _, x in got])})
 
-    @F.pandas_udf("array<long>")
-    def gram_sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingles(t, width)).view(np.int64) for t in texts], dtype=object)
+    def gram_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 128):
+                part = pdf.iloc[i : i + 128]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "g": [np.unique(shingles(t, width)).view(np.int64) for t in part["text"]]})
 
     bands = stored(left.mapInPandas(keys, "doc_id long, key long"), "simhash-bands")
     drawn = F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), F.col("doc_id").alias("d")))
@@ -211,8 +213,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
     pairs = bands.join(buckets, "key").select("doc_id", F.explode("centres").alias("c")).where("doc_id != c")
     pairs = stored(pairs.select(F.greatest("doc_id", "c").alias("a"), F.least("doc_id", "c").alias("b")).distinct(), "simhash-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    sets = left.join(ids, F.col("doc_id") == F.col("k"), "left_semi").select("doc_id", gram_sets("text").alias("g"))
-    sets = stored(sets, "simhash-sets")
+    sets = stored(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("k"), "left_semi").mapInPandas(gram_sets, "doc_id long, g array<long>"), "simhash-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     # the length test spares the intersection where sizes alone rule the similarity out
