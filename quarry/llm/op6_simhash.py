@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import read, stored
 
-SIMILARITY, BANDS, DEPTH = 0.8, 28, 7
+SIMILARITY, BANDS, DEPTH = 0.8, 20, 6
 RADIUS, WIDTH, SAMPLE, TASK, LEAF, WORTH = 3, 3, 65536, 4096, 128, 0.85
 HALVES, ALL = (0xFFFFFFFF, 0xFFFFFFFF00000000), 0xFFFFFFFFFFFFFFFF
 
@@ -37,7 +37,11 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    h = shingles(text, width).astype(">u8")
+    return folded(shingles(text, width))
+
+
+def folded(grams: np.ndarray) -> int:
+    h = grams.astype(">u8")
     if not len(h):
         return 0
     bits = np.zeros(64, np.int64)
@@ -158,6 +162,15 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
+def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """rows(doc_id, fp, ...) with the component_id of each fingerprint."""
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    star = components(links(fps, radius))
+    roots = fps.join(star.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(roots.join(least, "root").select("fp", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (signed), component_id."""
 
@@ -165,12 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     def fp_of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
 
-    rows = stored(docs.select("doc_id", fp_of("text").alias("fp")), "simhash")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    star = components(links(fps, radius))
-    roots = fps.join(star.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return classes(stored(docs.select("doc_id", fp_of("text").alias("fp")), "simhash"), radius).select("doc_id", "fp", "component_id")
 
 
 def band_keys(grams: np.ndarray) -> np.ndarray:
@@ -186,20 +194,17 @@ def band_keys(grams: np.ndarray) -> np.ndarray:
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: linked fingerprints, and texts whose shingle sets have the Jaccard similarity.
 
-    Fingerprints within RADIUS bits are linked first. One document of each class then gets band keys;
-    those that share a key are compared, by their whole shingle sets, with two documents of the bucket
-    (the smallest id, and one drawn by hash), and the links found join the classes."""
-    rows = stored(near_duplicates(docs, width).select("doc_id", "component_id").distinct(), "simhash-classes")
-    own = rows.where("doc_id = component_id").select(F.col("doc_id").alias("k"))
-    left = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("k"), "left_semi")
+    Fingerprints within RADIUS bits are linked first. One document of each class is compared, by its
+    whole shingle set, with the documents of smallest and largest id that share one of its band keys;
+    the links found join the classes."""
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 1024):
                 part = pdf.iloc[i : i + 1024]
-                got = [(d, band_keys(g)) for d, t in zip(part["doc_id"], part["text"], strict=True) if len(g := shingles(t, width))]
-                if got:
-                    yield pd.DataFrame({"doc_id": np.repeat([d for d, _ in got], BANDS), "key": np.concatenate([x for _, x in got])})
+                grams = (shingles(t, width) for t in part["text"])
+                rows = [(folded(g), len(np.unique(g)), band_keys(g) if len(g) else None) for g in grams]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": [x for x, _, _ in rows], "n": [x for _, x, _ in rows], "keys": [x for _, _, x in rows]})
 
     def gram_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -207,17 +212,21 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
                 part = pdf.iloc[i : i + 128]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "g": [np.unique(shingles(t, width)).view(np.int64) for t in part["text"]]})
 
-    bands = stored(left.mapInPandas(keys, "doc_id long, key long"), "simhash-bands")
-    drawn = F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), F.col("doc_id").alias("d")))
-    buckets = bands.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("z"), drawn.alias("y")).where("x < z").select("key", F.array("x", "y.d").alias("centres"))
-    pairs = bands.join(buckets, "key").select("doc_id", F.explode("centres").alias("c")).where("doc_id != c")
-    pairs = stored(pairs.select(F.greatest("doc_id", "c").alias("a"), F.least("doc_id", "c").alias("b")).distinct(), "simhash-pairs")
+    drawn = stored(docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, fp long, n long, keys array<long>"), "simhash")
+    rows = stored(classes(drawn.select("doc_id", "fp")).select("doc_id", "component_id").distinct(), "simhash-classes")
+    own = rows.where("doc_id = component_id").select(F.col("doc_id").alias("k"))
+    bands = drawn.join(own, F.col("doc_id") == F.col("k"), "left_semi").select("doc_id", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
+    bands = stored(bands, "simhash-bands")
+    buckets = bands.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("x"), F.max(F.struct("doc_id", "n")).alias("z")).where("x.doc_id < z.doc_id")
+    pairs = bands.join(buckets, "key").select("doc_id", "n", F.explode(F.array("x", "z")).alias("c")).where("doc_id != c.doc_id")
+    # sizes alone rule some out
+    pairs = pairs.where(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
+    pairs = stored(pairs.select(F.greatest("doc_id", "c.doc_id").alias("a"), F.least("doc_id", "c.doc_id").alias("b")).distinct(), "simhash-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     sets = stored(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("k"), "left_semi").mapInPandas(gram_sets, "doc_id long, g array<long>"), "simhash-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
-    # the length test spares the intersection where sizes alone rule the similarity out
-    near = both.where(F.least(F.size("ga"), F.size("gb")) >= similarity * F.greatest(F.size("ga"), F.size("gb"))).where(common >= similarity * (F.size("ga") + F.size("gb") - common))
+    near = both.where(common >= similarity * (F.size("ga") + F.size("gb") - common))
     star = components(near.select("a", "b").distinct()).select(F.col("a").alias("component_id"), F.col("b").alias("root"))
     return rows.join(star, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
 
