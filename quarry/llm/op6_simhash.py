@@ -196,7 +196,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
 
     Fingerprints within RADIUS bits are linked first. One document of each class is compared, by its
     whole shingle set, with the documents of smallest and largest id that share one of its band keys;
-    the links found join the classes."""
+    the links found join the classes. Rows without a doc_id are left out; repeated rows give one;
+    texts without words are one class."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -212,6 +213,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
                 part = pdf.iloc[i : i + 128]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "g": [np.unique(shingles(t, width)).view(np.int64) for t in part["text"]]})
 
+    docs = docs.where("doc_id IS NOT NULL")
     drawn = stored(docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, fp long, n long, keys array<long>"), "simhash")
     rows = stored(classes(drawn.select("doc_id", "fp")).select("doc_id", "component_id").distinct(), "simhash-classes")
     own = rows.where("doc_id = component_id").select(F.col("doc_id").alias("k"))

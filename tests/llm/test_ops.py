@@ -227,6 +227,11 @@ def test_odd_rows(spark, odd):
     assert op4_language.predict(odd, op4_language.train(op4_language.sample(odd))).where(F.col("lang_pred") == "und").count() == 3
 
 
+def test_similar_documents_odd_rows(odd):
+    got = sorted(tuple(r) for r in op6_simhash.similar_documents(odd).collect())
+    assert got == [(1, 1), (2, 1), (3, 3), (5, 1), (6, 6), (7, 3)]
+
+
 def test_empty(spark, odd):
     none = odd.limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
