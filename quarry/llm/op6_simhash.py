@@ -13,17 +13,18 @@ fingerprint zero; repeated rows share a class; an empty table gives none.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, stored
 
-SIMILARITY, BANDS, DEPTH = 0.8, 20, 6
+SIMILARITY, COMMON_FROM, COMMON, BLOCK, MAX_BROADCAST = 0.8, 8192, 100_000, 1024, 200_000
 RADIUS, WIDTH, SAMPLE, TASK, LEAF, WORTH = 3, 3, 65536, 4096, 128, 0.85
 HALVES, ALL = (0xFFFFFFFF, 0xFFFFFFFF00000000), 0xFFFFFFFFFFFFFFFF
 
@@ -181,31 +182,62 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     return classes(stored(docs.select("doc_id", fp_of("text").alias("fp")), "simhash"), radius).select("doc_id", "fp", "component_id")
 
 
-def band_keys(grams: np.ndarray) -> np.ndarray:
-    """One key a band, of the least shingles under DEPTH orders each: equal with chance similarity ** DEPTH."""
-    factors = np.random.default_rng(42).integers(0, 2**63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(len(factors), ALL, np.uint64)
-    for i in range(0, len(grams), 2048):
-        np.minimum(least, (grams[i : i + 2048, None] * factors).min(0), out=least)
-    mixed = (least ^ (least >> np.uint64(29))) * factors
-    return (mixed.reshape(BANDS, DEPTH).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about COMMON_FROM documents share, sorted, and how many share them: an order only, so a sample does."""
 
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 128):
+                sets = [np.unique(shingles(t, width)) for t in pdf["text"].iloc[i : i + 128]]
+                yield pd.DataFrame({"g": np.concatenate(sets).view(np.int64)})
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id: linked fingerprints, and texts whose shingle sets have the Jaccard similarity.
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // COMMON_FROM))) == 0)
+    most = part.select("text").mapInPandas(grams, "g long").groupBy("g").count().where("count > 2").orderBy(F.desc("count"), "g").limit(COMMON).collect()
+    g, n = np.array([r[0] for r in most], np.int64).view(np.uint64), np.array([r[1] for r in most], np.int64)
+    order = np.argsort(g)
+    return g[order], n[order]
+
+
+def rarest_first(grams: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(common):
+        return grams
+    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+    return grams[np.lexsort((grams, np.where(common[at] == grams, counts[at], 0)))]
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
-    Fingerprints within RADIUS bits are linked first. One document of each class is compared, by its
-    whole shingle set, with the documents of smallest and largest id that share one of its band keys;
-    the links found join the classes. Rows without a doc_id are left out; repeated rows give one;
-    texts without words are one class."""
+
+def could_reach(similarity: float, n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Whether sets of n and m shingles whose first common one is at i and j can have the similarity."""
+    sizes = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+    return sizes & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-6)
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id: linked fingerprints, and all texts whose shingle sets have the Jaccard similarity.
+
+    Fingerprints within RADIUS bits are linked first. Then one document of each distinct shingle set
+    is listed under the shingles of its prefix: in one order for all, rarest first, two sets of the
+    similarity share a shingle among the first n - ceil(similarity * n) + 1 of each. Pairs in one
+    list that are not linked yet are compared by whole sets: first each with the list's smallest id,
+    which links most copies, then all that are still apart, long lists block by block. Rows without
+    a doc_id are left out; repeated rows give one; texts without words are one class."""
+    docs = docs.where("doc_id IS NOT NULL")
+    common, counts = common_shingles(docs, width)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 1024):
-                part = pdf.iloc[i : i + 1024]
-                grams = (shingles(t, width) for t in part["text"])
-                rows = [(folded(g), len(np.unique(g)), band_keys(g) if len(g) else None) for g in grams]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": [x for x, _, _ in rows], "n": [x for _, x, _ in rows], "keys": [x for _, _, x in rows]})
+            for i in range(0, len(pdf), 256):
+                rows = []
+                for d, t in zip(pdf["doc_id"].iloc[i : i + 256], pdf["text"].iloc[i : i + 256], strict=True):
+                    grams = shingles(t, width)
+                    own = np.unique(grams)
+                    n = len(own)
+                    first = rarest_first(own, common, counts)[: n - math.ceil(similarity * n - 1e-9) + 1]
+                    rows.append((d, folded(grams), n, xxhash.xxh3_128_digest(own.tobytes()), first.view(np.int64)))
+                yield pd.DataFrame(rows, columns=["doc_id", "fp", "n", "h", "first"])
 
     def gram_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -213,24 +245,46 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
                 part = pdf.iloc[i : i + 128]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "g": [np.unique(shingles(t, width)).view(np.int64) for t in part["text"]]})
 
-    docs = docs.where("doc_id IS NOT NULL")
-    drawn = stored(docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, fp long, n long, keys array<long>"), "simhash")
-    rows = stored(classes(drawn.select("doc_id", "fp")).select("doc_id", "component_id").distinct(), "simhash-classes")
-    own = rows.where("doc_id = component_id").select(F.col("doc_id").alias("k"))
-    bands = drawn.join(own, F.col("doc_id") == F.col("k"), "left_semi").select("doc_id", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
-    bands = stored(bands, "simhash-bands")
-    buckets = bands.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("x"), F.max(F.struct("doc_id", "n")).alias("z")).where("x.doc_id < z.doc_id")
-    pairs = bands.join(buckets, "key").select("doc_id", "n", F.explode(F.array("x", "z")).alias("c")).where("doc_id != c.doc_id")
-    # sizes alone rule some out
-    pairs = pairs.where(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
-    pairs = stored(pairs.select(F.greatest("doc_id", "c.doc_id").alias("a"), F.least("doc_id", "c.doc_id").alias("b")).distinct(), "simhash-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    sets = stored(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("k"), "left_semi").mapInPandas(gram_sets, "doc_id long, g array<long>"), "simhash-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    near = both.where(common >= similarity * (F.size("ga") + F.size("gb") - common))
-    star = components(near.select("a", "b").distinct()).select(F.col("a").alias("component_id"), F.col("b").alias("root"))
-    return rows.join(star, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Of pairs(a, b, ca, cb) the links ca, cb of those with the similarity."""
+        pairs = stored(pairs.distinct(), "simhash-pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        sets = stored(docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("k"), "left_semi").mapInPandas(gram_sets, "doc_id long, g array<long>"), "simhash-sets")
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
+        shared = F.size(F.array_intersect("ga", "gb"))
+        near = both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared))
+        return stored(near.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), "simhash-near")
+
+    drawn = stored(docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, fp long, n int, h binary, first array<long>"), "simhash")
+    rows = stored(classes(drawn.select("doc_id", "fp", "h")).select("doc_id", "h", "component_id").distinct(), "simhash-classes")
+    # equal sets: one document stands for them, and their classes are linked
+    sets = stored(rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("component_id").alias("c")), "simhash-distinct")
+    links0 = stored(rows.select("h", "component_id").distinct().join(sets, "h").where("component_id > c").select(F.col("component_id").alias("a"), F.col("c").alias("b")).distinct(), "simhash-equal")
+    chosen = stored(drawn.select("doc_id", "n", "first").join(sets.select("doc_id", "c"), "doc_id"), "simhash-first")
+    lists = chosen.select("doc_id", "n", "c", F.posexplode("first").alias("i", "g"))
+    mixed = F.min("c") < F.max("c")
+    kept = stored(lists.groupBy("g").agg(mixed.alias("mixed")).where("mixed").select("g"), "simhash-lists")
+    lists = stored(lists.join(small(kept), "g"), "simhash-postings")
+
+    x = F.col("x")
+    heads = lists.groupBy("g").agg(F.min(F.struct("doc_id", "n", "i", "c")).alias("x"))
+    pairs = lists.join(heads, "g").where((F.col("c") != x["c"]) & could_reach(similarity, F.col("n"), F.col("i"), x["n"], x["i"]))
+    links1 = links0.union(alike(pairs.select(x["doc_id"].alias("a"), F.col("doc_id").alias("b"), x["c"].alias("ca"), F.col("c").alias("cb"))))
+
+    star = components(links1).select(F.col("a").alias("c"), F.col("b").alias("root"))
+    lists = lists.join(small(star), "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
+    size = F.count(F.lit(1))
+    sizes = lists.groupBy("g").agg(mixed.alias("mixed"), F.when(size <= BLOCK, 1).otherwise(F.ceil(2 * size / BLOCK)).cast("int").alias("k")).where("mixed").drop("mixed")
+    lists = lists.join(sizes, "g").withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    lists = lists.withColumn("o", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("k") - 2))))
+    lists = lists.withColumn("o", F.when(F.col("k") > 1, F.col("o") + (F.col("o") >= F.col("p")).cast("int")).otherwise(0))
+    lists = stored(lists.select("g", F.least("p", "o").alias("u"), F.greatest("p", "o").alias("v"), "doc_id", "n", "i", "c"), "simhash-blocks")
+    y = lists.select("g", "u", "v", *[F.col(k).alias(f"{k}2") for k in ("doc_id", "n", "i", "c")])
+    pairs = lists.join(y, ["g", "u", "v"]).where((F.col("doc_id") < F.col("doc_id2")) & (F.col("c") != F.col("c2")) & could_reach(similarity, F.col("n"), F.col("i"), F.col("n2"), F.col("i2")))
+    links2 = alike(pairs.select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b"), F.col("c").alias("ca"), F.col("c2").alias("cb")))
+
+    star = components(links1.union(links2).distinct()).select(F.col("a").alias("component_id"), F.col("b").alias("root"))
+    return rows.select("doc_id", "component_id").distinct().join(star, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,29 @@ def test_similar_documents_meet(spark):
     assert all(got[d] == plain[d] or any(linked(d, e) or linked(e, d) for e in got if got[e] == got[d]) for d in got)
 
 
+def test_similar_documents_of_a_chained_class(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 8))
+    chain = [[word() for _ in range(1500)]]
+    while len(chain) < 100:
+        w = list(chain[-1])
+        w[15 * len(chain) + 7] = word()
+        if (op6_simhash.fingerprint(" ".join(w), 5) ^ op6_simhash.fingerprint(" ".join(chain[-1]), 5)).bit_count() <= 3:
+            chain.append(w)
+    out = list(chain[-1])
+    for i in range(0, 1500, 60):
+        out[i] = word()
+    texts = {i: " ".join(w) for i, w in enumerate([*chain, out])}
+    sets = {i: set(op6_simhash.shingles(t, 5).tolist()) for i, t in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    fps = [op6_simhash.fingerprint(t, 5) for t in texts.values()]
+    assert alike(99, 100) >= 0.8 > alike(0, 100) and min((fps[100] ^ f).bit_count() for f in fps[:100]) > 3
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (1024, 8):
+        monkeypatch.setattr(op6_simhash, "BLOCK", block, raising=False)
+        assert {r["component_id"] for r in op6_simhash.similar_documents(docs).collect()} == {0}
+
+
 def test_shards(spark, docs):
     rows = op7_shards.op7_shards(spark, SF).collect()
     assert len(rows) == docs.count()
