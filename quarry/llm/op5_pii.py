@@ -1,24 +1,25 @@
 """Personal data: exact base spans, and terms that give protected entities away.
 
-A term near an entity is generalised when the corpus shows that it discloses the entity: its
-pointwise mutual information with the entity reaches DISCLOSURE of the entity's information
-content, over at least SUPPORT documents. Null text is empty; repeated rows repeat the result;
-an empty table gives an empty result. Term spans come after the base kinds.
+Co-occurrence is counted over whole documents, all of them: a term is flagged, at each of its
+occurrences in any document, when the smoothed pointwise mutual information with some entity
+reaches DISCLOSURE of the entity's information content. Null text is empty; repeated rows repeat
+the result; an empty table gives an empty result. Term spans come after the base kinds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, stored
 
-DISCLOSURE, SUPPORT, NEAR = 0.95, 3, 8
+DISCLOSURE, SMOOTHING = 0.95, 1.0
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -60,47 +61,70 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def nearby(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    out = []
-    for kind, a, b in spans:
-        entity, left = f"{kind}:{text[a:b].lower()}", max(0, a - 200)
-        before = [m.span() for m in WORD.finditer(text, left, a)][-NEAR:]
-        after = [m.span() for m in WORD.finditer(text, b, b + 200)][:NEAR]
-        out += [(entity, text[x:y].lower(), x, y) for x, y in before + after if not any(x < q and p < y for _, p, q in spans)]
-    return out
+def blanked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with its base spans blank, at the same positions."""
+    for _, a, b in spans:
+        text = text[:a] + " " * (b - a) + text[b:]
+    return text
 
 
-def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            text = text or ""
-            spans = base_spans(text)
-            near = [dict(zip(("entity", "term", "a", "b"), x, strict=True)) for x in nearby(text, spans)]
-            n = [sum(s[0] == k for s in spans) for k in KINDS]
-            rows.append((doc_id, *n, hashlib.sha256(joined(spans).encode()).hexdigest(), joined(spans), near))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+def terms_of(rest: str) -> set[str]:
+    return set(map(str.lower, set(WORD.findall(rest))))
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents with a term (entity null), with an entity (term null) and with both, added up by batch."""
+    for pdf in batches:
+        alone, both = Counter(), Counter()
+        for text in pdf["text"]:
+            spans = base_spans(text or "")
+            terms = terms_of(blanked(text or "", spans))
+            alone.update(terms)
+            for e in {f"{k}:{text[a:b].lower()}" for k, a, b in spans}:
+                both.update([(e, None), *((e, t) for t in terms)])
+        rows = [(None, t, n) for t, n in alone.items()] + [(e, t, n) for (e, t), n in both.items()]
+        for i in range(0, len(rows), 50_000):
+            yield pd.DataFrame(rows[i : i + 50_000], columns=["entity", "term", "n"])
+
+
+def disclosing(docs: DataFrame, disclosure: float, smoothing: float) -> DataFrame:
+    """The terms that give an entity away.
+
+    The share of a term's documents that hold the entity is drawn towards the entity's share p of all
+    documents by `smoothing` documents: (both + smoothing * p) / (nt + smoothing). A term discloses
+    where log2(share / p) >= disclosure * log2(1 / p)."""
+    n_docs = float(max(1, docs.count()))
+    counts = stored(docs.select("text").mapInPandas(count, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n")), "pii-counts")
+    entities = counts.where("entity IS NOT NULL AND term IS NULL").select("entity", (F.col("n") / n_docs).alias("p")).where("p < 1")
+    terms = counts.where("entity IS NULL").select("term", F.col("n").alias("nt"))
+    pairs = counts.where("entity IS NOT NULL AND term IS NOT NULL").select("entity", "term", F.col("n").alias("both"))
+
+    def enough(nt: Column) -> Column:
+        return F.log2((F.col("both") + smoothing * F.col("p")) / (nt + smoothing) / F.col("p")) >= -disclosure * F.log2("p")
+
+    # a term has at least as many documents as the pair, so most pairs are out before the join
+    pairs = pairs.join(entities, "entity").where(enough(F.col("both")))
+    return pairs.join(terms, "term").where(enough(F.col("nt"))).select("term").distinct()
+
+
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
+    flagged = frozenset(r[0] for r in disclosing(docs, disclosure, smoothing).collect())
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                text = text or ""
+                spans = base_spans(text)
+                rest = blanked(text, spans)
+                found = flagged & terms_of(rest) if flagged else ()
+                terms = [("term", *m.span()) for m in WORD.finditer(rest) if m.group().lower() in found] if found else []
+                n = [sum(s[0] == k for s in spans) for k in KINDS]
+                rows.append((doc_id, *n, hashlib.sha256(joined(spans).encode()).hexdigest(), joined(spans + terms)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = stored(docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entity:string,term:string,a:int,b:int>>"), "pii")
-    near = found.select("doc_id", F.inline("near"))
-    n_docs = float(max(1, found.count()))
-    once = near.select("doc_id", "entity", "term").distinct()
-    pairs = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    entities = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ne"))
-    pairs = stored(pairs.join(entities, "entity"), "pii-pairs")
-    # counted for every word before the join, so the join meets one row a word and not one a document
-    in_doc = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([^\W\d_]{3,})"), 1))).alias("term"))
-    df = in_doc.groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
-    pmi = F.log2(F.col("both") * n_docs / (F.col("ne") * F.col("nt")))
-    rules = pairs.join(df, "term").where(pmi >= disclosure * F.log2(n_docs / F.col("ne"))).where(F.col("ne") < n_docs).select("entity", "term")
-    extra = near.join(rules, ["entity", "term"]).select("doc_id", "a", "b").distinct()
-    extra = extra.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("t"))
-    extra = extra.select(F.col("doc_id").alias("k"), F.array_join(F.transform("t", lambda x: F.concat(F.lit("term:"), x["a"], F.lit(":"), x["b"])), ",").alias("terms"))
-    out = found.drop("near").join(extra, F.col("doc_id").eqNullSafe(F.col("k")), "left")
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "terms").alias("spans"))
+    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
