@@ -2,7 +2,8 @@
 
 Co-occurrence is counted over whole documents, all of them: a term is flagged, at each of its
 occurrences in any document, when the smoothed pointwise mutual information with some entity
-reaches DISCLOSURE of the entity's information content. Null text is empty; repeated rows repeat
+reaches DISCLOSURE of the entity's information content. The sanitised text has a kind in place of
+each base span and a class of words (by its letters' case) in place of each term. Null text is empty; repeated rows repeat
 the result; an empty table gives an empty result. Term spans come after the base kinds.
 """
 
@@ -68,6 +69,18 @@ def blanked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return text
 
 
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with each run of overlapping base spans as its kind and each term as a broader class."""
+    out, last = [], 0
+    for kind, a, b in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if a >= last:
+            word = text[a:b]
+            label = kind if kind != "term" else "acronym" if word.isupper() else "name" if word[0].isupper() else "word"
+            out += [text[last:a], f"[{label.upper()}]"]
+        last = max(last, b)
+    return "".join(out) + text[last:]
+
+
 def terms_of(rest: str) -> set[str]:
     return set(map(str.lower, set(WORD.findall(rest))))
 
@@ -120,12 +133,12 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, smoothing: float =
                 found = flagged & terms_of(rest) if flagged else ()
                 terms = [("term", *m.span()) for m in WORD.finditer(rest) if m.group().lower() in found] if found else []
                 n = [sum(s[0] == k for s in spans) for k in KINDS]
-                rows.append((doc_id, *n, hashlib.sha256(joined(spans).encode()).hexdigest(), joined(spans + terms)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((doc_id, *n, hashlib.sha256(joined(spans).encode()).hexdigest(), joined(spans + terms), masked(text, spans + terms)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "sanitised"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, sanitised string")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sanitise(read(spark, sf_dir, "documents"))
+    return sanitise(read(spark, sf_dir, "documents")).drop("sanitised")

@@ -99,6 +99,16 @@ def test_pii_terms_of_whole_documents(spark):
     assert {r["doc_id"]: r["spans"] for r in op5_pii.sanitise(docs, 0.7).collect()}[99] == "term:4:10"
 
 
+def test_pii_sanitised_text(spark):
+    texts = ["Mail a.b@c.de, Müller 1.2.3.4.", "MÜLLER or müller: a.b@c.de", *["Mail or nothing"] * 60, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["sanitised"] for r in op5_pii.sanitise(docs, 0.85).collect()}
+    assert got == {0: "Mail [EMAIL], [NAME] [IP].", 1: "[ACRONYM] or [WORD]: [EMAIL]", 62: ""} | dict.fromkeys(range(2, 62), "Mail or nothing")
+    assert op5_pii.masked("x 1.2.3.4 y", [("ip", 2, 9), ("phone", 5, 11)]) == "x [IP]"
+    none = docs.limit(0)
+    assert op5_pii.sanitise(none).count() == 0
+
+
 def components(fps):
     parent = list(range(len(fps)))
 
