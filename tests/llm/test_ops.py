@@ -109,6 +109,13 @@ def test_pii_sanitised_text(spark):
     assert op5_pii.sanitise(none).count() == 0
 
 
+def test_pii_accented_terms(spark):
+    texts = [*["Müller Falcon a.b@c.de"] * 3, *["und so"] * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["spans"] for r in op5_pii.sanitise(docs, 0.85).collect()}
+    assert spans == {"", "email:14:22,term:0:6,term:7:13"}
+
+
 def components(fps):
     parent = list(range(len(fps)))
 
