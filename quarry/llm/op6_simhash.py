@@ -1,13 +1,15 @@
 """SimHash near duplicates, linked exactly with vantage-point trees.
 
 Two fingerprints within 3 bits differ in at most 1 bit in one of their halves. Each half has a
-vantage-point tree, fitted on a bounded sample of SAMPLE fingerprints, that routes the distinct
-fingerprints by the Hamming distance of that half; a fingerprint within the half's radius of a
-node's boundary also goes to the inner shard, so every close pair meets in one shard. Shards over
-TASK rows are cut into chunks compared two by two. Inside a task the tree goes on, prunes branches
-by the triangle inequality, checks all 64 bits and returns stars of the local components, never
-all pairs. Components come from large-star/small-star rounds. Null and wordless texts have
-fingerprint zero; repeated rows share a class; an empty table gives none.
+vantage-point tree, fitted on about SAMPLE fingerprints, that routes the distinct fingerprints by
+the Hamming distance of that half; a fingerprint within the half's radius of a node's boundary
+also goes to the inner shard, so every close pair meets in one shard. A shard over MOST rows is
+split again, round by round, at a vantage point of its own and by the distances of all its rows.
+Inside a task the tree goes on, prunes branches by the triangle inequality, checks all 64 bits and
+returns stars of the local components, never all pairs. A set that no vantage point divides (a
+ball of a few bits) is walked from neighbour to neighbour, which removes what it reaches. Components
+come from large-star/small-star rounds; the rows of hot vertices don't shuffle. Null and wordless
+texts have fingerprint zero; repeated rows share a class; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import by_key, read, stored
 
 SIMILARITY, COMMON_FROM, COMMON, BLOCK, MAX_BROADCAST = 0.8, 8192, 100_000, 1024, 200_000
-RADIUS, WIDTH, SAMPLE, TASK, LEAF, WORTH = 3, 3, 65536, 4096, 128, 0.85
+RADIUS, WIDTH, SAMPLE, TASK, MOST, LEAF, WORTH = 3, 3, 65536, 4096, 1 << 20, 128, 0.85
 HALVES, ALL = (0xFFFFFFFF, 0xFFFFFFFF00000000), 0xFFFFFFFFFFFFFFFF
 
 
@@ -84,17 +86,40 @@ def route(node: tuple | int, points: np.ndarray, at: np.ndarray, mask: int, radi
     route(outer, points, at[d > mu], mask, radius, out)
 
 
+def walk(points: np.ndarray, radius: int, out: list) -> None:
+    """Appends (member, smallest of its local component) arrays; memory grows with the points, not with their pairs."""
+    rest = points
+    while len(rest):
+        own, front = [], rest[:1]
+        rest = rest[1:]
+        while len(front):
+            own.append(front)
+            new = []
+            for i in range(0, len(front), 64):
+                if not len(rest):
+                    break
+                near = np.zeros(len(rest), bool)
+                for k in range(0, len(rest), 1 << 14):
+                    near[k : k + (1 << 14)] = (np.bitwise_count(rest[k : k + (1 << 14), None] ^ front[None, i : i + 64]) <= radius).any(1)
+                new.append(rest[near])
+                rest = rest[~near]
+            front = np.concatenate(new) if new else rest[:0]
+        own = np.concatenate(own)
+        if len(own) > 1:
+            out.append((own, np.full(len(own), own.min())))
+
+
 def stars(points: np.ndarray, mask: int, radius: int, out: list) -> None:
-    """Appends (member, smallest of its local component) arrays."""
+    """As walk, by a vantage-point tree."""
     if len(points) > LEAF:
         parts = split(points, mask, radius // 2) or split(points, ALL, radius)
         if parts:
             stars(parts[2], mask, radius, out)
             stars(parts[3], mask, radius, out)
-            return
-    near = np.empty((len(points), len(points)), bool)
-    for i in range(0, len(points), LEAF):
-        near[i : i + LEAF] = np.bitwise_count(points[i : i + LEAF, None] ^ points[None, :]) <= radius
+        else:
+            walk(points, radius, out)
+        return
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= radius
     todo = near.sum(1) > 1
     for i in np.flatnonzero(todo):
         if not todo[i]:
@@ -113,63 +138,98 @@ def stars(points: np.ndarray, mask: int, radius: int, out: list) -> None:
 
 def local_links(pdf: pd.DataFrame, radius: int = RADIUS) -> pd.DataFrame:
     points, out = np.unique(pdf["fp"].to_numpy(np.int64).view(np.uint64)), []
-    stars(points, HALVES[int(pdf["shard"].iloc[0]) % 2], radius, out)
+    stars(points, HALVES[int(pdf["half"].iloc[0])], radius, out)
     if not out:
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     a, b = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
     return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).query("a != b").drop_duplicates()
 
 
-def links(fps: DataFrame, radius: int = RADIUS, task: int = TASK) -> DataFrame:
-    """Links (a > b) between distinct fingerprints whose closure is that of all pairs within the radius."""
-    n = fps.count()
-    pick = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    most = task * len(pick) / max(1, n)
-    trees = [plant(pick, most, m, radius // 2, itertools.count(i, 2)) for i, m in enumerate(HALVES)]
+def split_large(rows: DataFrame, radius: int, most: int) -> DataFrame:
+    """rows(shard, half, fp) with every shard over `most` rows split, until it isn't or no boundary is worth it.
+
+    A round takes one vantage point and the median distance a large shard, by the half or, where that
+    leaves over WORTH of all pairs, by all bits. The large shards' own rows, one each, are sent to
+    all executors: at most the number of rows / `most` of them."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in HALVES]
+    stuck, turn = None, 0
+    while True:
+        n = F.count(F.lit(1))
+        large = rows.groupBy("shard", "half").agg(n.alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(turn))).alias("v")).where(F.col("n") > most)
+        if stuck is not None:
+            large = large.join(F.broadcast(stuck), "shard", "left_anti")
+        large = stored(large, "simhash-large")
+        if large.isEmpty():
+            return rows
+        off = F.col("fp").bitwiseXOR(F.col("v"))
+        mask = F.when(F.col("half") == 0, F.lit(signed[0])).otherwise(F.lit(signed[1]))
+        far = rows.join(F.broadcast(large), ["shard", "half"]).withColumn("d0", F.bit_count(off.bitwiseAND(mask))).withColumn("d1", F.bit_count(off))
+        mid = far.groupBy("shard").agg(*[F.percentile_approx(f"d{k}", 0.5).alias(f"mu{k}") for k in (0, 1)])
+        r = (radius // 2, radius)
+        sides = [F.count_if(F.col(f"d{k}") <= F.col(f"mu{k}") + r[k]).alias(f"in{k}") for k in (0, 1)] + [F.count_if(F.col(f"d{k}") > F.col(f"mu{k}")).alias(f"out{k}") for k in (0, 1)]
+        good = [F.pow(f"in{k}", 2) + F.pow(f"out{k}", 2) <= WORTH * F.pow("n", 2) for k in (0, 1)]
+        plan = far.join(F.broadcast(mid), "shard").groupBy("shard", "v", "n", "mu0", "mu1").agg(*sides).withColumn("by", F.when(good[0], 0).when(good[1], 1))
+        plan = stored(plan.select("shard", "v", "by", F.when(good[0], F.col("mu0")).otherwise(F.col("mu1")).alias("mu")), "simhash-plan")
+        none = plan.where("by IS NULL").select("shard")
+        stuck = none if stuck is None else stuck.union(none)
+        rows = rows.join(F.broadcast(plan.where("by IS NOT NULL")), "shard", "left")
+        d = F.when(F.col("by") == 0, F.bit_count(off.bitwiseAND(mask))).otherwise(F.bit_count(off))
+        inner = F.when(d <= F.col("mu") + F.when(F.col("by") == 0, r[0]).otherwise(r[1]), F.xxhash64("shard", F.lit(2 * turn)))
+        outer = F.when(d > F.col("mu"), F.xxhash64("shard", F.lit(2 * turn + 1)))
+        to = F.when(F.col("by").isNull(), F.array("shard")).otherwise(F.array_compact(F.array(inner, outer)))
+        rows, turn = stored(rows.select(F.explode(to).alias("shard"), "half", "fp"), "simhash-shards"), turn + 1
+
+
+def links(fps: DataFrame, n: int, radius: int = RADIUS, task: int = TASK, most: int = MOST) -> DataFrame:
+    """Links (a > b) between n distinct fingerprints whose closure is that of all pairs within the radius."""
+    share = min(1.0, SAMPLE / max(1, n))
+    pick = np.array([r[0] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(share * (1 << 40))).select("fp").collect()], np.int64).view(np.uint64)
+    pick = pick[np.argsort(pick * np.uint64(0x9E3779B97F4A7C15))]
+    leaf = task * len(pick) / max(1, n)
+    trees = [plant(pick, leaf, m, radius // 2, itertools.count(i, 2)) for i, m in enumerate(HALVES)]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            points, out = pdf["fp"].to_numpy(np.int64).view(np.uint64), []
-            for tree, mask in zip(trees, HALVES, strict=True):
+            points = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+            for half, (tree, mask) in enumerate(zip(trees, HALVES, strict=True)):
+                out: list = []
                 route(tree, points, np.arange(len(points)), mask, radius // 2, out)
-            if out:
-                at, name = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pd.DataFrame({"shard": name, "fp": points[at].view(np.int64)})
+                if out:
+                    at, name = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pd.DataFrame({"shard": name, "half": np.full(len(at), half, np.int32), "fp": points[at].view(np.int64)})
 
-    rows = stored(fps.select("fp").mapInPandas(deal, "shard long, fp long"), "simhash-shards")
-    # one row per tree leaf: bounded by the sample
-    size = F.count(F.lit(1))
-    sizes = rows.groupBy("shard").agg(F.when(size <= task, 1).otherwise(F.ceil(2 * size / task)).cast("int").alias("k"))
-    rows = rows.join(F.broadcast(sizes), "shard").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("k") - 2))))
-    rows = rows.withColumn("o", F.when(F.col("k") > 1, F.col("o") + (F.col("o") >= F.col("c")).cast("int")).otherwise(0))
-    rows = rows.select("shard", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "fp")
-    return rows.groupBy("shard", "x", "y").applyInPandas(lambda p: local_links(p, radius), "a long, b long").distinct()
+    rows = stored(fps.select("fp").mapInPandas(deal, "shard long, half int, fp long"), "simhash-shards")
+    rows = split_large(rows, radius, most)
+    return rows.groupBy("shard", "half").applyInPandas(lambda p: local_links(p, radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): every linked vertex but the smallest of its component, and that one."""
     edges, last = stored(edges, "cc"), None
-    while True:
+    state = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
+    now = edges.agg(*state).first()
+    while now != last:
+        last = now
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.toDF("a", "b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("rows")).select("a", F.least("a", "m").alias("m"), "rows")
+        large = by_key(both.where("b > a"), low, "a", now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = stored(large, "cc-large")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("rows"))
+        small = by_key(large, low, "a", now[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m").toDF("a", "b"))
         edges = stored(small.distinct(), "cc")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
-            return edges
-        last = now
+        now = edges.agg(*state).first()
+    return edges
 
 
 def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """rows(doc_id, fp, ...) with the component_id of each fingerprint."""
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    star = components(links(fps, radius))
-    roots = fps.join(star.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(roots.join(least, "root").select("fp", "component_id"), "fp")
+    """rows(doc_id, fp, ...), stored, with the component_id of each fingerprint."""
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-fps")
+    n_rows, n_fps = rows.count(), fps.count()
+    star = components(links(fps, n_fps, radius))
+    roots = fps.join(star.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    least = roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    of = by_key(roots, least, "root", n_fps).select("fp", "component_id", F.col("n").alias("rows"))
+    return by_key(rows, of, "fp", n_rows)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:

@@ -153,7 +153,7 @@ def test_simhash_links_through_many_shards(spark, monkeypatch):
     fps = np.unique(np.concatenate([fps, *near, same_half, fps[0] ^ bit(40) ^ bit(40) ^ bit(40) ^ bit(40)]))
     monkeypatch.setattr(op6_simhash, "LEAF", 8)
     df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
-    star = {r["a"]: r["b"] for r in op6_simhash.components(op6_simhash.links(df, task=24)).collect()}
+    star = {r["a"]: r["b"] for r in op6_simhash.components(op6_simhash.links(df, len(fps), task=24)).collect()}
     order = sorted(int(x) for x in fps)
     root = components([x & (2**64 - 1) for x in order])
     assert {x: order[c] for x, c in zip(order, root, strict=True)} == {x: star.get(x, x) for x in order}
