@@ -3,8 +3,12 @@
 Co-occurrence is counted over whole documents, all of them: a term is flagged, at each of its
 occurrences in any document, when the smoothed pointwise mutual information with some entity
 reaches DISCLOSURE of the entity's information content. The sanitised text has a kind in place of
-each base span and a class of words (by its letters' case) in place of each term. Null text is empty; repeated rows repeat
-the result; an empty table gives an empty result. Term spans come after the base kinds.
+each base span and a class of words (by its letters' case) in place of each term. Flagged terms of
+up to MAX_BYTES are sent to all executors; more are joined with the documents' terms instead.
+
+Null text is empty; repeated rows repeat the result; ids of any type, nulls included, and other
+columns are left to Spark; every pattern takes time in proportion to the text; an empty table gives
+an empty result. Term spans come after the base kinds.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import read, stored
 
-DISCLOSURE, SMOOTHING = 0.95, 1.0
+DISCLOSURE, SMOOTHING, MAX_BYTES, FLUSH = 0.95, 1.0, 32 << 20, 200_000
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# a match can't start inside a run of digits: the run's start would have matched before
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
 
@@ -64,9 +69,13 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def blanked(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with its base spans blank, at the same positions."""
-    for _, a, b in spans:
-        text = text[:a] + " " * (b - a) + text[b:]
-    return text
+    out, last = [], 0
+    for _, a, b in sorted(spans, key=lambda x: x[1]):
+        if b > last:
+            a = max(a, last)
+            out += [text[last:a], " " * (b - a)]
+            last = b
+    return "".join(out) + text[last:] if out else text
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -86,18 +95,25 @@ def terms_of(rest: str) -> set[str]:
 
 
 def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents with a term (entity null), with an entity (term null) and with both, added up by batch."""
+    """Documents with a term (entity null), with an entity (term null) and with both, added up by batch, some FLUSH counts at a time."""
+
+    def rows(counts: Counter) -> pd.DataFrame:
+        out = pd.DataFrame([(e, t, n) for (e, t), n in counts.items()], columns=["entity", "term", "n"])
+        counts.clear()
+        return out
+
     for pdf in batches:
-        alone, both = Counter(), Counter()
+        counts: Counter = Counter()
         for text in pdf["text"]:
             spans = base_spans(text or "")
             terms = terms_of(blanked(text or "", spans))
-            alone.update(terms)
+            counts.update([(None, t) for t in terms])
             for e in {f"{k}:{text[a:b].lower()}" for k, a, b in spans}:
-                both.update([(e, None), *((e, t) for t in terms)])
-        rows = [(None, t, n) for t, n in alone.items()] + [(e, t, n) for (e, t), n in both.items()]
-        for i in range(0, len(rows), 50_000):
-            yield pd.DataFrame(rows[i : i + 50_000], columns=["entity", "term", "n"])
+                counts.update([(e, None), *((e, t) for t in terms)])
+                if len(counts) > FLUSH:
+                    yield rows(counts)
+        if counts:
+            yield rows(counts)
 
 
 def disclosing(docs: DataFrame, disclosure: float, smoothing: float) -> DataFrame:
@@ -120,24 +136,45 @@ def disclosing(docs: DataFrame, disclosure: float, smoothing: float) -> DataFram
     return pairs.join(terms, "term").where(enough(F.col("nt"))).select("term").distinct()
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
-    flagged = frozenset(r[0] for r in disclosing(docs, disclosure, smoothing).collect())
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                text = text or ""
-                spans = base_spans(text)
-                rest = blanked(text, spans)
-                found = flagged & terms_of(rest) if flagged else ()
-                terms = [("term", *m.span()) for m in WORD.finditer(rest) if m.group().lower() in found] if found else []
-                n = [sum(s[0] == k for s in spans) for k in KINDS]
-                rows.append((doc_id, *n, hashlib.sha256(joined(spans).encode()).hexdigest(), joined(spans + terms), masked(text, spans + terms)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "sanitised"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, sanitised string")
+FIELDS = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, sanitised string"
+
+
+def sanitised(text: str | None, flagged: frozenset[str]) -> tuple:
+    """The columns of FIELDS for one text."""
+    text = text or ""
+    spans = base_spans(text)
+    terms: list[tuple[str, int, int]] = []
+    if flagged:
+        rest = blanked(text, spans)
+        if found := flagged & terms_of(rest):
+            terms = [("term", *m.span()) for m in WORD.finditer(rest) if m.group().lower() in found]
+    n = Counter(s[0] for s in spans)
+    return *(n[k] for k in KINDS), hashlib.sha256(joined(spans).encode()).hexdigest(), joined(spans + terms), masked(text, spans + terms)
+
+
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING, max_bytes: int = MAX_BYTES) -> DataFrame:
+    flagged = stored(disclosing(docs, disclosure, smoothing), "pii-terms")
+    names = [x.split()[0] for x in FIELDS.split(", ")]
+    if (flagged.select(F.sum(F.octet_length("term") + 80)).first()[0] or 0) <= max_bytes:
+        every = frozenset(r[0] for r in flagged.collect())
+
+        @F.pandas_udf(FIELDS)
+        def scan(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([sanitised(t, every) for t in texts], columns=names)
+
+        return docs.select("doc_id", scan("text").alias("_found")).select("doc_id", "_found.*")
+
+    @F.pandas_udf("array<string>")
+    def terms(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(terms_of(blanked(t or "", base_spans(t or "")))) for t in texts], dtype=object)
+
+    @F.pandas_udf(FIELDS)
+    def scan_own(texts: pd.Series, own: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sanitised(t, frozenset(() if o is None else o)) for t, o in zip(texts, own, strict=True)], columns=names)
+
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "pii-rows")
+    own = rows.select("row", F.explode(terms("text")).alias("term")).join(flagged, "term").groupBy("row").agg(F.collect_list("term").alias("own"))
+    return rows.join(own, "row", "left").select("doc_id", scan_own("text", "own").alias("_found")).select("doc_id", "_found.*")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
