@@ -5,7 +5,9 @@ proportional share of every length, and a bounded-knapsack dynamic programme ove
 counts for the rest; the documents of each chosen length are the first by a seeded hash. Null
 text has size 0, a null source is a source of its own (last), equal hashes are ordered by
 doc_id, an empty table gives an empty result. A source's histogram holds one row per distinct
-length; the per-source totals on the driver hold one row per configured source.
+length; the driver holds one row per source of the data, some 100 bytes each, to share the budget
+among them. Up to EXACT words of a budget are fitted exactly; of a larger one all but EXACT words are
+a proportional share of every length, which keeps the mix of lengths, and the programme fits the rest.
 """
 
 from __future__ import annotations
@@ -21,17 +23,14 @@ PATTERN, SHARE, MOST, SEED, BUCKET, EXACT = (5.0, 2.0, 1.0), 1.5, 2.0, 42, 256,
 
 
 def targets(totals: list[tuple[str | None, int]], share: float = SHARE, most: float = MOST) -> dict:
+    """Shares by weight; sources reach their cap in the order of cap over weight, and what they leave is shared anew."""
     order = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
     weight = {s: PATTERN[i % len(PATTERN)] for i, (s, _) in enumerate(order)}
-    cap, budget, fixed = {s: most * n for s, n in order}, share * sum(n for _, n in order), {}
-    while True:
-        free = [s for s, _ in order if s not in fixed]
-        left, total = budget - sum(fixed.values()), sum(weight[s] for s in free)
-        got = {s: left * weight[s] / total for s in free}
-        over = [s for s in free if got[s] > cap[s]]
-        if not over:
-            return fixed | got
-        fixed |= {s: cap[s] for s in over}
+    cap, left, total, out = {s: most * n for s, n in order}, share * sum(n for _, n in order), sum(weight.values()), {}
+    for s in sorted(cap, key=lambda s: cap[s] / weight[s]):
+        out[s] = min(cap[s], left * weight[s] / total) if total > 1e-9 else cap[s]
+        left, total = left - out[s], total - weight[s]
+    return out
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -95,7 +94,8 @@ def mix(docs: DataFrame, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataF
     rows = stored(docs.select("doc_id", docs["source"].cast("string").alias("source"), words.alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h")), "mix-rows")
     hist = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     totals = [(r[0], int(r[1])) for r in hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n"))).collect()]
-    goal = spark.createDataFrame([(s, n, float(targets(totals)[s])) for s, n in totals], "source string, source_size long, target double")
+    goals = targets(totals)
+    goal = spark.createDataFrame([(s, n, float(goals[s])) for s, n in totals], "source string, source_size long, target double")
     same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
     hist = hist.alias("a").join(goal.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "size", "n", "source_size", "target")
     plan = hist.groupBy("source").applyInPandas(plan_source, "source string, size long, epochs long, k long")
