@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from quarry.plans import catalogue
+from quarry.plans import registry
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -18,6 +18,6 @@ spark.read.parquet(f"{SF}/documents.parquet").count()
 took = {}
 for name in NAMES:
     began = time.time()
-    catalogue.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    registry.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
     took[name] = round(time.time() - began, 3)
 print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": SF}))

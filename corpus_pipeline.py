@@ -1,7 +1,10 @@
 """Corpus pipeline: five stages over documents, each written and read again by the next.
 
-A null doc_id is kept apart from others by null-safe joins; repeated rows share their decisions;
-an empty table passes through every stage.
+Rows are told apart by what they hold, not by an id alone: decontamination decides by text, so rows
+without a doc_id keep their own fates. Near duplicates and the mix go by doc_id: rows of one id share
+their decision there, and rows without one are no duplicates and are drawn as one by the mix.
+Repeated rows share their decisions; an empty table passes through every stage; other columns are
+left out.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import op4_language, op6_simhash, op7_shards, op9_mix, op10_decon
-from quarry.llm.common import shared_dir
+from quarry.llm.common import shared_dir, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,9 +36,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    bad = op10_decon.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return by_id(docs, bad, "left_anti").select(*COLUMNS)
+    hashed = docs.select(*COLUMNS).withColumn("_h", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = op10_decon.contaminated(hashed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_h")
+    bad = op10_decon.small(stored(found.where("n_hit > 0").select("key").distinct(), "pipeline-bad"))
+    return hashed.join(bad, F.col("_h") == F.col("key"), "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

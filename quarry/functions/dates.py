@@ -8,14 +8,19 @@ from datetime import date, timedelta
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-_ORD = r"(\d{1,2})(?:st|nd|rd|th)?"
-_ISO = re.compile(r"(?<![\d.-])(\d{4})-(\d{2})-(\d{2})(?!\d)")
-_COMPACT = re.compile(r"(?<!\d)((?:19|20)\d{2})(\d{2})(\d{2})(?!\d)")
-_NUMERIC = re.compile(r"(?<![\d./-])(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})(?![\d]|[./-]\d)")
-_QUARTER = re.compile(r"\bQ([1-4])[\s/-]*((?:19|20)\d{2})\b|\b((?:19|20)\d{2})[\s/-]*Q([1-4])\b", re.I)
-_DAY_MONTH = re.compile(rf"\b{_ORD}\s+(?:of\s+)?({_MONTH})\.?(?:,?\s+(\d{{4}}))?\b", re.I)
-_MONTH_DAY = re.compile(rf"\b({_MONTH})\.?\s+{_ORD}(?!\d)(?:,?\s+(\d{{4}}))?\b", re.I)
-_MONTH_YEAR = re.compile(rf"\b({_MONTH})\.?,?\s+((?:19|20)\d{{2}})\b", re.I)
+# How each kind of date is written, in the order the rules are tried.
+_ISO = re.compile(r"(?<![\w./-])(?P<y>\d{4})[-/](?P<m>\d{1,2})[-/](?P<d>\d{1,2})(?![\w%]|[./-]\d)", re.A)
+_COMPACT = re.compile(r"(?<!\d)(?P<y>(?:19|20)\d{2})(?P<m>\d{2})(?P<d>\d{2})(?!\d)", re.A)
+_NUMERIC = re.compile(r"(?<![\w./$-])(\d{1,2})([/.-])(\d{1,2})\2(\d{4})(?![\w%]|[./-]\d)", re.A)
+_QUARTER = re.compile(r"(?<!\w)(?:Q([1-4])[\s-]*(\d{4})|(\d{4})[\s-]*Q([1-4]))(?!\w)", re.I | re.A)
+_DAY_MONTH = re.compile(rf"(?<!\w)(?P<d>\d{{1,2}})(?:st|nd|rd|th)?[\s-]+(?P<month>{_MONTH})\.?(?:,?\s+(?P<y>\d{{4}})|-(?P<yy>\d{{2}}))?(?!\w)", re.I | re.A)
+_MONTH_DAY = re.compile(rf"(?<!\w)(?P<month>{_MONTH})\.?\s+(?P<d>\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s+(?P<y>\d{{4}}))?(?P<yy>(?!))?(?!\w)", re.I | re.A)
+_MONTH_YEAR = re.compile(rf"(?<!\w)(?P<month>{_MONTH})\.?,?\s+(?P<y>\d{{4}})(?!\w)", re.I | re.A)
+_BARE_DAY_MONTH = re.compile(rf"(?<!\w)(?P<d>\d{{1,2}})(?:st|nd|rd|th)?[\s-]+(?P<month>{_MONTH})\.?(?![\s-]*\d{{4}})(?!\w)", re.I | re.A)
+_BARE_MONTH_DAY = re.compile(rf"(?<!\w)(?P<month>{_MONTH})\.?\s+(?P<d>\d{{1,2}})(?:st|nd|rd|th)?(?![,\s]*\d{{4}})(?!\w)", re.I | re.A)
+_BARE_YEAR = re.compile(r"(?<![\w.$-])(?:fy\s*|fiscal\s+(?:year\s+)?)?((?:19|20)\d{2})(?![\w.%-])", re.I | re.A)
+_MONEY_BEFORE = re.compile(r"(?:\$|usd|eur|gbp|versions?)\s*$", re.I)
+_MONEY_AFTER = re.compile(r"\s*(?:dollars|usd|eur|euros|gbp|pounds)\b", re.I)
 AMBIGUOUS_DAYS, POSTED_WORDS = 45, 300
 
 Range = tuple[str, str]
@@ -62,52 +67,57 @@ def day_month_order(text: str) -> str | None:
     return seen.pop() if len(seen) == 1 else None
 
 
+def _month_of(m: re.Match) -> int:
+    return MONTHS.index(m["month"][:3].lower()) + 1
+
+
 def extract_dates(text: str, default_year: int | None = None, order: str | None = None, near: date | None = None, file_name: bool = False) -> list[Range]:
     """Ranges in text order without repeats; an earlier rule's span excludes later rules."""
-    found: list[tuple[int, int, list[Range]]] = []
-
-    def add(m: re.Match, ranges: list[Range | None]) -> None:
-        got = [r for r in ranges if r]
-        if got and not any(m.start() < e and s < m.end() for s, e, _ in found):
-            found.append((m.start(), m.end(), got))
-
-    def named(m: re.Match, d: str, month: str, y: str | None) -> None:
-        year = int(y) if y else default_year if month[:1].isupper() else None
-        if year:
-            add(m, [day(year, MONTHS.index(month[:3].lower()) + 1, int(d))])
-
-    for m in _ISO.finditer(text):
-        add(m, [day(int(m[1]), int(m[2]), int(m[3]))])
-    if file_name:
-        for m in _COMPACT.finditer(text):
-            add(m, [day(int(m[1]), int(m[2]), int(m[3]))])
-    for m in _NUMERIC.finditer(text):
-        y = int(m[4])
-        add(m, resolve_numeric(int(m[1]), int(m[3]), y if y > 99 else y + (2000 if y < 70 else 1900), order, near))
-    for m in _QUARTER.finditer(text):
-        add(m, [quarter_range(int(m[2] or m[3]), int(m[1] or m[4]))])
-    for m in _DAY_MONTH.finditer(text):
-        named(m, m[1], m[2], m[3])
-    for m in _MONTH_DAY.finditer(text):
-        named(m, m[2], m[1], m[3])
-    for m in _MONTH_YEAR.finditer(text):
-        add(m, [month_range(int(m[2]), MONTHS.index(m[1][:3].lower()) + 1)])
-    return list(dict.fromkeys(r for _, _, rs in sorted(found) for r in rs))
+
+    def whole(m: re.Match) -> list[Range | None]:
+        return [day(int(m["y"]), int(m["m"]), int(m["d"]))]
+
+    def named(m: re.Match) -> list[Range | None]:
+        if m["y"] or m["yy"]:
+            year = int(m["y"]) if m["y"] else int(m["yy"]) + (2000 if int(m["yy"]) < 70 else 1900)
+        else:  # a month without a year counts only if it is written with a capital
+            year = default_year if m["month"][0].isupper() else None
+        return [day(year, _month_of(m), int(m["d"]))] if year else []
+
+    rules = [
+        (_ISO, whole),
+        (_COMPACT, whole if file_name else None),
+        (_NUMERIC, lambda m: resolve_numeric(int(m[1]), int(m[3]), int(m[4]), order, near)),
+        (_QUARTER, lambda m: [quarter_range(int(m[2] or m[3]), int(m[1] or m[4]))]),
+        (_DAY_MONTH, named),
+        (_MONTH_DAY, named),
+        (_MONTH_YEAR, lambda m: [month_range(int(m["y"]), _month_of(m))] if int(m["y"]) else []),
+    ]
+    taken: list[tuple[int, int, list[Range]]] = []
+    for pattern, read in rules:
+        for m in pattern.finditer(text) if read else ():
+            if all(m.end() <= a or b <= m.start() for a, b, _ in taken) and (ranges := [r for r in read(m) if r]):
+                taken.append((m.start(), m.end(), ranges))
+    return list(dict.fromkeys(r for _, _, ranges in sorted(taken) for r in ranges))
 
 
 def posted_date(text: str, name: str, mtime: date) -> Range:
     """First date of the first 300 words, else of the base name, else the file's day."""
-    head = " ".join(text.split()[:POSTED_WORDS])
-    base = name.rsplit(".", 1)[0].replace("_", " ")
-    first = extract_dates(head, order=day_month_order(text), near=mtime) or extract_dates(base, near=mtime, file_name=True)
+    order = day_month_order(text)
+    head, base = " ".join(text.split()[:POSTED_WORDS]), re.sub(r"_+", " ", re.sub(r"\.[^.]+$", "", name))
+    first = extract_dates(head, order=order, near=mtime) or extract_dates(base, order=order, near=mtime, file_name=True)
     return first[0] if first else (mtime.isoformat(), mtime.isoformat())
 
 
+def format_range(r: Range) -> str:
+    return r[0] if r[0] == r[1] else f"{r[0]}\u2013{r[1]}"
+
+
 def question_ranges(question: str, now: date, years: list[int] = ()) -> list[tuple[int, int]]:
     """Day ranges (YYYYMMDD) a question names: relative phrase, full dates, yearless day and month, bare years."""
     number = lambda d: d.year * 10000 + d.month * 100 + d.day
     q = question.lower()
-    if m := re.search(r"\b(?:past|last)\s+(\d+)\s+(day|week|month)s?\b", q):
+    if m := re.search(r"\b(?:past|last)\s+(\d{1,3})\s+(day|week|month)s?\b", q):
         n = int(m[1])
         if m[2] == "month":
             k = now.year * 12 + now.month - 1 - (n - 1)
@@ -127,11 +137,9 @@ def question_ranges(question: str, now: date, years: list[int] = ()) -> list[tup
         end = k + size - 1
         return [(number(date(k // 12, k % 12 + 1, 1)), number(date(end // 12, end % 12 + 1, calendar.monthrange(end // 12, end % 12 + 1)[1])))]
     plain = lambda r: (int(r[0].replace("-", "")), int(r[1].replace("-", "")))
-    if full := extract_dates(question):
+    if full := extract_dates(question, near=now):
         return [plain(r) for r in full]
-    for rule, d, mo in ((_DAY_MONTH, 1, 2), (_MONTH_DAY, 2, 1)):
-        if m := rule.search(question):
-            month = MONTHS.index(m[mo][:3].lower()) + 1
-            return [plain(r) for y in sorted(years, reverse=True) if (r := day(y, month, int(m[d])))]
-    bare = re.compile(r"(?<![\d.$-])(?<!usd )(?<!eur )(?<!gbp )(?<!version )(?:\b(?:fy|fiscal year)\s*)?\b((?:19|20)\d{2})\b(?![.%-]\d|%|\s*(?:dollars|euros|pounds|usd|eur|gbp)\b)")
-    return [(y * 10000 + 101, y * 10000 + 1231) for y in sorted({int(m[1]) for m in bare.finditer(q)}, reverse=True)]
+    if (m := _BARE_DAY_MONTH.search(question) or _BARE_MONTH_DAY.search(question)) and (got := [plain(r) for y in sorted(years or [now.year], reverse=True) if (r := day(y, _month_of(m), int(m["d"])))]):
+        return got
+    bare = {int(m[1]) for m in _BARE_YEAR.finditer(question) if not _MONEY_BEFORE.search(question[: m.start()].rstrip()) and not _MONEY_AFTER.match(question, m.end())}
+    return [(y * 10000 + 101, y * 10000 + 1231) for y in sorted(bare, reverse=True)]

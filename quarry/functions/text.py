@@ -6,7 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The words that keyword scoring leaves out.
-STOP = "a an and are as at be by for from has have in is it its of on or that the this to was were will with".split()
+STOP = (
+    "a an and are as at be but by can did do does for from had has have he her his how i if in into is it its me my "
+    "of on or our she so some than that the their them then there these they this to was we were what when where which who why "
+    "will with would you your"
+).split()
+# The words that the wording check leaves out.
+QUESTION_STOP = "a an and are as at be by did do does for from had has have how in is it its of on or over that the their this to was were what when where which who why with".split()
 
 
 def normalise(text: Column) -> Column:
@@ -35,13 +41,90 @@ def keyword_terms(text: Column) -> Column:
 
     def trim(t: Column) -> Column:
         n, cut = F.length(t), lambda k: F.substring(t, F.lit(1), F.length(t) - k)
-        return (F.when(t.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y"))).when(t.endswith("ing") & (n > 4), cut(3)).when(t.endswith("ed") & (n > 3), cut(2))
-                .when(t.endswith("s") & ~t.endswith("ss") & (n > 3), cut(1)).otherwise(t))
+        rules = F.when(t.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
+        for ending, least, k in (("ing", 4, 3), ("ed", 3, 2), ("es", 3, 2)):
+            rules = rules.when(t.endswith(ending) & (n > least), cut(k))
+        return rules.when(t.endswith("s") & ~t.endswith("ss") & (n > 3), cut(1)).otherwise(t)
 
     return F.transform(raw, trim)
 
 
-def context_header(file: Column, posted: Column, section: Column) -> Column:
-    """Bracketed header without its empty parts (TXT-14)."""
+def context_header(file: Column, posted: Column, section: Column, dates: Column | None = None) -> Column:
+    """Bracketed header without its empty parts; empty if all are (TXT-14). dates: an array of strings."""
     part = lambda name, c: F.when(c != "", F.concat(F.lit(f"{name}: "), c))
-    return F.concat(F.lit("["), F.concat_ws(" | ", part("File", file), part("Posted", posted), part("Section", section)), F.lit("]"))
+    listed = [] if dates is None else [part("Dates", F.array_join(dates, ", "))]
+    inner = F.concat_ws(" | ", part("File", file), part("Posted", posted), part("Section", section), *listed)
+    return F.when(inner == "", "").otherwise(F.concat(F.lit("["), inner, F.lit("]")))
+
+
+def normalise_markdown(md: Column) -> Column:
+    """Authored Markdown to the shared form, rule by rule in a fixed order (TXT-2)."""
+    # What each rule finds and leaves.
+    rules = [
+        (r"\r\n?", "\n"), (r"(?s)```.*?```", ""), (r"`([^`]+)`", "$1"), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+        (r"(?m)^[ \t]{0,3}>[ \t]?", ""), (r"(?m)^[ \t]{0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$", ""), (r"(?m)^([ \t]*)[*+]([ \t]+)", "$1-$2"),
+        (r"(\*\*|__)(.+?)\1", "$2"), (r"(?<![\w*])\*(?!\s)(.+?)(?<!\s)\*(?![\w*])", "$1"), (r"(?<!\w)_(?!\s)(.+?)(?<!\s)_(?!\w)", "$1"),
+        (r"(?m)^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$\n?", ""),
+    ]
+    for found, left in rules:
+        md = F.regexp_replace(md, found, left)
+    row = r"^[ \t]*\|(.*)\|[ \t]*$"
+    cells = lambda x: F.array_join(F.transform(F.split(F.regexp_extract(x, row, 1), r"\|"), lambda c: F.trim(c)), " | ")
+    md = F.array_join(F.transform(F.split(md, "\n"), lambda x: F.when(x.rlike(row), cells(x)).otherwise(x)), "\n")
+    for found, left in ((r"<[^>]+>", " "), (r"(?m)[ \t]+$", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+        md = F.regexp_replace(md, found, left)
+    return md
+
+
+def summarise_error(message: Column) -> Column:
+    """One line of an error without stack, box drawing and a leading `Error`, at most 160 characters (SRC-13)."""
+    line = F.regexp_replace(F.coalesce(message, F.lit("")), r"(?s)(?:</>\s*STACK TRACE|\n\s*at\s).*$", "")
+    line = F.regexp_replace(F.regexp_replace(line, "[\u2500-\u257f]", " "), r"^\s*Error\b", " ")
+    line = F.trim(F.regexp_replace(line, r"\s+", " "))
+    return F.when(line == "", "unknown error").when(F.length(line) > 160, F.concat(F.substring(line, 1, 159), F.lit("\u2026"))).otherwise(line)
+
+
+def relative_path(root: str, path: Column) -> Column:
+    """The path below the root with forward slashes; null outside the root (FLT-10)."""
+    posix = F.replace(path, F.lit("\\"), F.lit("/"))
+    base = root.replace("\\", "/").rstrip("/") + "/"
+    inner = F.when(posix.startswith(base), F.substring(posix, F.lit(len(base) + 1), F.length(posix)))
+    return F.when(inner.rlike(r"^(?:\.\.(?:/|$)|/|[A-Za-z]:)") | (inner == ""), None).otherwise(inner)
+
+
+def chunk_key(shard: Column, chunk_id: Column) -> Column:
+    return F.concat_ws("/", shard, chunk_id)
+
+
+def prefixed(model: str, text: Column, side: str) -> Column:
+    """The text as a model that tells documents from queries wants it embedded (TXT-23)."""
+    if "nomic-embed" not in model.lower():
+        return text
+    return F.concat(F.lit({"document": "search_document: ", "query": "search_query: "}[side]), text)
+
+
+def finite_vector(raw: Column) -> Column:
+    """array<double>, or an error on a null, NaN or infinite value (TXT-22, SUB-30)."""
+    v = raw.cast("array<double>")
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(bad, F.raise_error(F.lit("an embedding holds a value that isn't finite")).cast("array<double>")).otherwise(v)
+
+
+def rendered(header: Column, text: Column) -> Column:
+    """A passage as the prompt shows it (TXT-24)."""
+    return F.concat_ws("\n", F.nullif(header, F.lit("")), text)
+
+
+def shortened(text: Column, lines: int = 3, chars: int = 400) -> Column:
+    """The first lines that aren't blank, with an ellipsis where that isn't all (TXT-25)."""
+    full = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
+    cut = F.substring(F.array_join(F.slice(full, 1, lines), "\n"), 1, chars)
+    return F.when((F.size(full) > lines) | (F.length(text) > F.length(cut)), F.concat(F.rtrim(cut), F.lit("\u2026"))).otherwise(cut)
+
+
+def match_label(position: Column, lanes: Column, score: Column) -> Column:
+    """How a passage was found (TXT-26)."""
+    # The names of the lanes.
+    names = F.create_map(*[F.lit(x) for x in ("vector", "meaning", "hyde", "likely wording", "keyword", "keywords", "date", "dates")])
+    via = F.array_join(F.transform(lanes, lambda x: F.coalesce(names[x], x)), ", ")
+    return F.when(F.size(F.coalesce(lanes, F.array())) == 0, F.concat(F.lit("score: "), F.format_string("%.3f", score))).otherwise(F.concat(F.lit("match #"), position.cast("string"), F.lit(" via "), via))

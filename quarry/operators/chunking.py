@@ -1,100 +1,207 @@
 """Section-aware chunks: a document's sections are packed greedily into a word budget (TXT-12).
 
-The budget depends on what is already packed, so this is one call per document, in parallel over documents."""
+The budget depends on what is already packed, so this is one call per document, in parallel over documents.
+A document is one list of words; sections, tables and chunks are ranges of it."""
 
 from __future__ import annotations
 
+import bisect
+import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from datetime import date, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
-
-from ..functions.dates import extract_dates
-from ..functions.markdown import linearise_tables, sections
-
-SENTENCE = re.compile(r"[.!?][\"'”’)\]]*$")
-FILL = 0.75
-
-
-def _cut(words: list[str], ends: list[bool], limit: int) -> int:
-    """Where an oversized run is cut: a paragraph end that fills three quarters, else a sentence end, else the limit."""
-    if len(words) <= limit:
-        return len(words)
-    para = max((i + 1 for i in range(limit) if ends[i]), default=0)
-    if para >= FILL * limit:
-        return para
-    sentence = max((i + 1 for i in range(limit) if SENTENCE.search(words[i])), default=0)
-    return max(para, sentence) or limit
-
-
-def structured_chunks(md: str, size: int = 512, file_name: str = "") -> list[dict]:
-    """Every word once and in order; offsets are contiguous; no chunk ends with a heading unless it is all there is."""
-    groups: list[tuple[list[str], list[tuple[str, str, int]]]] = []
-    carry: tuple[list[str], list] | None = None
-    for path, blocks in sections(md):
-        if carry:
-            path, blocks, carry = (carry[0] if blocks[0][0] == "listItem" else path), carry[1] + blocks, None
-        if all(b[0] == "heading" for b in blocks):
-            carry = (path, blocks)
-        else:
-            groups.append((path, blocks))
-    if carry:
-        groups.append(carry)
-
-    def text_of(blocks: list[tuple[str, str, int]]) -> list[str]:
-        return [("#" * lv + " " + t) if k == "heading" else t for k, t, lv in blocks]
-
-    pieces: list[tuple[list[str], list[str]]] = []  # path, lines
-    pack: list[str] = []
-    pack_path: list[str] = []
-    count = 0
-    for path, blocks in groups:
-        lines = text_of(blocks)
-        n = sum(len(x.split()) for x in lines)
-        if pack and count + n > size:
-            pieces.append((pack_path, pack))
-            pack, count = [], 0
-        if n <= size:
-            pack_path = pack_path if pack else path
-            pack, count = pack + lines, count + n
+from pyspark.sql import functions as F
+
+from ..functions.dates import Range, day_month_order, extract_dates, format_range, posted_date
+from ..functions.markdown import dated_sections, linearise_tables, numeric_cell, render_block
+
+SENTENCE = re.compile(r"[.!?][\"')\]]*$")
+FILL, EXTRA_TITLES = 0.75, 2
+
+
+@dataclass
+class Section:
+    path: list[str]
+    dates: list[Range]
+    kind: str
+    start: int
+    end: int = 0
+    first_heads: int = 0  # where its leading headings end
+
+
+@dataclass
+class Text:
+    words: list[str] = field(default_factory=list)
+    last: list[bool] = field(default_factory=list)  # whether a word ends a block
+    heads: set[int] = field(default_factory=set)  # where headings end
+    ends: list[int] = field(default_factory=list)  # where other blocks end
+    tables: list[tuple[int, int, str]] = field(default_factory=list)
+    sections: list[Section] = field(default_factory=list)
+
+    def slice(self, a: int, b: int) -> str:
+        return "".join(w + ("\n" if e else " ") for w, e in zip(self.words[a:b], self.last[a:b], strict=True))[:-1]
+
+    def add(self, path: list[str], dates: list[Range], blocks: list[tuple[str, str, int]]) -> None:
+        s = Section(path, dates, blocks[0][0], len(self.words))
+        leading, table, before = True, None, False
+        for kind, text, level in blocks:
+            at, shown = len(self.words), render_block(kind, text, level)
+            if kind != "tableRow":
+                before = False
+            else:
+                numbers = any(map(numeric_cell, (c.strip() for c in shown.split(" | "))))
+                opens, before = before and not numbers, numbers
+            if table and (kind != "tableRow" or opens):
+                self.tables.append((table[0], at, table[1]))
+                table = None
+            if kind == "tableRow" and not table:
+                table = (at, shown)
+            own = shown.split()
+            self.words += own
+            self.last += [False] * (len(own) - 1) + [True] * bool(own)
+            if kind == "heading":
+                self.heads.add(len(self.words))
+                s.first_heads = len(self.words) if leading else s.first_heads
+            else:
+                leading = False
+                self.ends.append(len(self.words))
+        if table:
+            self.tables.append((table[0], len(self.words), table[1]))
+        s.end = len(self.words)
+        s.first_heads = max(s.first_heads, s.start)
+        self.sections.append(s)
+
+
+def read_text(md: str, dates_of: Callable[[str], list[Range]]) -> Text:
+    """Sections in order; a heading with nothing under it goes to the section that follows, which keeps its path if it begins with a list item."""
+    out, carried = Text(), None
+    for path, dates, blocks in dated_sections(md, dates_of):
+        if len(blocks) == 1 and blocks[0][0] == "heading":
+            carried = (path, dates, (carried[2] if carried else []) + blocks)
+            continue
+        if carried:
+            path, blocks = (carried[0] if blocks[0][0] == "listItem" else path), carried[2] + blocks
+            carried = None
+        out.add(path, dates, blocks)
+    if carried:
+        out.add(*carried)
+    return out
+
+
+def latest(bounds: list[int], above: int, upto: int) -> int | None:
+    """The largest bound in (above, upto]."""
+    i = bisect.bisect_right(bounds, upto)
+    return bounds[i - 1] if i and bounds[i - 1] > above else None
+
+
+def structured_chunks(md: str, size: int = 512, file_name: str = "", posted: Range | None = None, count_tokens: Callable[[str], int] | None = None, with_dates: bool = True, order: str | None = None, near: date | None = None) -> list[dict]:
+    """Every word once and in order, but for a split table's header; offsets are contiguous; no chunk ends with a heading unless it is all there is."""
+    year = int(posted[0][:4]) if posted else None
+    dates_in = (lambda text: extract_dates(text, year, order, near)) if with_dates else (lambda text: [])
+    t = read_text(md, dates_in)
+    if not t.sections:
+        return []
+    count = count_tokens or (lambda text: len(text.split()))
+    n_words, n_tokens = len(md.split()), count(md)
+    each = n_tokens / n_words if n_tokens > 0 and n_words else 1.0
+    budget = max(1, math.floor(size / each + 0.5))
+
+    def describe(group: list[Section], text: str) -> tuple[str, list[Range], str]:
+        titles = [s.path[-1] for s in group[1:] if s.kind == "heading" and s.path and s.path[-1]]
+        path = " ; ".join(x for x in [" > ".join(group[0].path), *titles[:EXTRA_TITLES]] if x)
+        path += f" +{len(titles) - EXTRA_TITLES} more" if len(titles) > EXTRA_TITLES else ""
+        dates = list(dict.fromkeys([d for s in group for d in s.dates] + dates_in(text)))
+        parts = [f"File: {file_name}" if file_name else "", f"Posted: {format_range(posted)}" if posted else "", f"Section: {path}" if path else "", f"Dates: {', '.join(map(format_range, dates))}" if dates else ""]
+        shown = " | ".join(p for p in parts if p)
+        return path, dates, f"[{shown}]" if shown else ""
+
+    header = describe(t.sections[:1], t.slice(t.sections[0].start, t.sections[0].end))[2]
+    head_words = len(header.split())
+    head_each = count(header) / head_words if head_words and count(header) > 0 else each
+    cost = lambda header: math.ceil(len(header.split()) * head_each / each)
+    chunks: list[dict] = []
+
+    def emit(group: list[Section], a: int, b: int, repeated: str = "") -> None:
+        text = f"{repeated}\n{t.slice(a, b)}" if repeated else t.slice(a, b)
+        path, dates, header = describe(group, text)
+        embed = linearise_tables(text)
+        chunks.append({"text": text, "embed_text": embed if embed != text else None, "context_header": header, "section_path": path, "dates": dates, "start_index": a, "end_index": b})
+
+    def fits(group: list[Section]) -> bool:
+        a, b = group[0].start, group[-1].end
+        return b - a <= budget and cost(describe(group, t.slice(a, b))[2]) + b - a <= budget
+
+    def split(s: Section) -> None:
+        piece = max(math.ceil(budget / 2), budget - cost(describe([s], t.slice(s.start, s.end))[2]))
+        sentences = [i + 1 for i in range(s.start, s.end) if SENTENCE.search(t.words[i])]
+        tables = [x for x in t.tables if s.start <= x[0] < s.end]
+        inside = lambda at: next((x for x in tables if x[0] < at < x[1]), None)
+        a = s.start
+        while a < s.end:
+            limit = min(s.end, a + piece)
+            above = max(a, s.first_heads) if a == s.start else a
+            b = limit
+            if limit < s.end:
+                block, sentence = latest(t.ends, above, limit), latest(sentences, above, limit)
+                full = block is not None and block >= a + math.ceil(piece * FILL)
+                b = block if full else max(x for x in (block, sentence, -1) if x is not None)
+                b = limit if b < 0 else b
+            if a == s.start and b <= s.first_heads:
+                b = min(s.end, s.first_heads + 1)
+            if table := inside(b):
+                b = table[0] if table[0] > above else latest(t.ends, above, limit) or b
+            elif b < s.end and b in t.heads:
+                before = latest(t.ends, above, b - 1) or latest(sentences, above, b - 1)
+                b = before or b + 1
+            opened = next((x for x in tables if x[0] < a < x[1]), None)
+            emit([s], a, b, opened[2] if opened else "")
+            a = b
+
+    packed: list[Section] = []
+    for s in t.sections:
+        if packed and fits([*packed, s]):
+            packed.append(s)
             continue
-        split = [x.split() for x in lines]
-        words = [w for x in split for w in x]
-        ends = [i == len(x) - 1 for x in split for i in range(len(x))]
-        limit = max(math.ceil(size / 2), size)
-        while words:
-            k = _cut(words, ends, limit)
-            out, line = [], []
-            for w, e in zip(words[:k], ends[:k], strict=True):
-                line.append(w)
-                if e:
-                    out.append(" ".join(line))
-                    line = []
-            pieces.append((path, out + ([" ".join(line)] if line else [])))
-            words, ends = words[k:], ends[k:]
-    if pack:
-        pieces.append((pack_path, pack))
-
-    chunks, at = [], 0
-    for path, lines in pieces:
-        text = "\n".join(lines)
-        dates = list(dict.fromkeys(extract_dates(text)))
-        parts = [f"File: {file_name}" * bool(file_name), ("Section: " + " > ".join(path)) * bool(path), ("Dates: " + ", ".join(a if a == b else f"{a}–{b}" for a, b in dates)) * bool(dates)]
-        embed, n = linearise_tables(text), len(text.split())
-        chunks.append({"text": text, "embed_text": embed if embed != text else None, "context_header": f"[{' | '.join(p for p in parts if p)}]" if any(parts) else "", "section_path": path, "start_index": at, "end_index": at + n})
-        at += n
+        if packed:
+            emit(packed, packed[0].start, packed[-1].end)
+        packed = [s] if fits([s]) else []
+        if not packed:
+            split(s)
+    if packed:
+        emit(packed, packed[0].start, packed[-1].end)
     return chunks
 
 
-def chunk_documents(docs: DataFrame, size: int = 512) -> DataFrame:
-    """docs(doc_id, text as Markdown) to chunk rows; null text gives none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [{"doc_id": d, "chunk_index": i} | c for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, c in enumerate(structured_chunks(t or "", size))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text", "embed_text", "context_header", "section_path", "start_index", "end_index"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, chunk_index int, text string, embed_text string, context_header string, section_path array<string>, start_index int, end_index int")
+def document_chunks(md: str, name: str, mtime: date | None, size: int, count_tokens: Callable[[str], int] | None) -> list[dict]:
+    """Chunks with the document's posted date; without dates where reading them fails (ORC-7)."""
+    try:
+        posted = posted_date(md, name, mtime) if mtime else None
+        return [c | {"posted": posted} for c in structured_chunks(md, size, name, posted, count_tokens, order=day_month_order(md), near=mtime)]
+    except (ValueError, OverflowError):
+        posted = (mtime.isoformat(),) * 2 if mtime else None
+        return [c | {"posted": posted} for c in structured_chunks(md, size, name, posted, count_tokens, with_dates=False)]
+
+
+def chunk_documents(docs: DataFrame, size: int = 512, count_tokens: Callable[[str], int] | None = None) -> DataFrame:
+    """docs(doc_id, text as Markdown[, file_name, mtime]) to chunk rows; null text gives none. Dates are JSON ranges."""
+    ranges = lambda rs: json.dumps([{"start": a, "end": b} for a, b in rs])
+    names = ["chunk_index", "text", "embed_text", "context_header", "section_path", "posted_date", "dates", "start_index", "end_index"]
+
+    @F.pandas_udf("array<struct<chunk_index:int,text:string,embed_text:string,context_header:string,section_path:string,posted_date:string,dates:string,start_index:int,end_index:int>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, files, times in batches:
+            out = []
+            for text, name, at in zip(texts, files, times, strict=True):
+                day = at.date() if isinstance(at, datetime) and not pd.isna(at) else None
+                rows = document_chunks(text or "", name or "", day, size, count_tokens)
+                out.append([dict(zip(names, (i, c["text"], c["embed_text"], c["context_header"], c["section_path"], ranges([c["posted"]]) if c["posted"] else None, ranges(c["dates"]), c["start_index"], c["end_index"]), strict=True)) for i, c in enumerate(rows)])
+            yield pd.Series(out, dtype=object)
+
+    name = F.col("file_name") if "file_name" in docs.columns else F.lit("")
+    mtime = F.col("mtime") if "mtime" in docs.columns else F.lit(None)
+    return docs.select("doc_id", F.explode(run(F.col("text"), name, mtime.cast("timestamp"))).alias("_c")).select("doc_id", "_c.*")

@@ -2,24 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PACK, MAX_BROADCAST_BYTES = 1024, 64 << 20
 
-def _fold(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
+def packed(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(ids, n, data): up to PACK unit vectors of a partition in one row, as float64; rows without a vector or a length are left out."""
+    kind = rows.schema[key].dataType.simpleString()
 
-def vector_topk(chunks: DataFrame, queries: DataFrame, limit: int, threshold: float) -> DataFrame:
-    """chunks(key, vector) x queries(query_id, vector): exact cosine, threshold inclusive, ties by key (TOP-1, FLT-3).
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf["v"].notna()]
+            for i in range(0, len(pdf), PACK):
+                part = pdf.iloc[i : i + PACK]
+                m = np.stack([np.asarray(v, np.float64) for v in part["v"]])
+                norm = np.linalg.norm(m, axis=1)
+                use = norm > 0
+                if use.any():
+                    yield pd.DataFrame({"ids": [part["k"].to_numpy()[use].tolist()], "n": [int(use.sum())], "data": [(m[use] / norm[use, None]).tobytes()]})
+
+    return rows.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("k IS NOT NULL").mapInPandas(run, f"ids array<{kind}>, n int, data binary")
 
-    A stated batch of queries meets every chunk; norms are computed once a side. The rank's group
-    limit runs before the shuffle, so each task sends at most `limit` rows a query."""
-    c = chunks.select("key", F.col("vector").alias("cv"), F.sqrt(_fold(F.col("vector"), F.col("vector"))).alias("cn"))
-    q = queries.select("query_id", F.col("vector").alias("qv"), F.sqrt(_fold(F.col("vector"), F.col("vector"))).alias("qn"))
-    pairs = c.crossJoin(q).select("query_id", "key", (_fold(F.col("cv"), F.col("qv")) / (F.col("cn") * F.col("qn"))).alias("score"))
+
+def vector_topk(chunks: DataFrame, queries: DataFrame, limit: int, threshold: float) -> DataFrame:
+    """chunks(key, vector) x queries(query_id, vector): exact cosine to 12 digits, threshold inclusive, ties by key (TOP-1, FLT-3).
+
+    A pack of chunks meets a pack of queries in one matrix product, which sends at most `limit` rows
+    a query on; packs of queries are broadcast if they take at most MAX_BROADCAST_BYTES."""
+    c, q = packed(chunks, "key", "vector"), packed(queries, "query_id", "vector").toDF("query_ids", "m", "query_data")
+    size = q.agg(F.sum(F.octet_length("query_data"))).first()[0] or 0
+    kinds = [x.schema[k].dataType.simpleString() for x, k in ((queries, "query_id"), (chunks, "key"))]
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                a, b = np.frombuffer(r.data).reshape(r.n, -1), np.frombuffer(r.query_data).reshape(r.m, -1)
+                scores, keys = np.round(b @ a.T, 12), np.asarray(r.ids)
+                out = []
+                for query, s in zip(r.query_ids, scores, strict=True):
+                    at = np.flatnonzero(s >= max(threshold, np.partition(s, -limit)[-limit] if len(s) > limit else -np.inf))
+                    at = at[np.lexsort((keys[at], -s[at]))[:limit]]
+                    out.append(pd.DataFrame({"query_id": query, "key": keys[at], "score": s[at]}))
+                yield pd.concat(out)
+
+    pairs = c.crossJoin(F.broadcast(q) if size <= MAX_BROADCAST_BYTES else q).mapInPandas(best, f"query_id {kinds[0]}, key {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
-    return pairs.where(F.col("score") >= threshold).withColumn("rank", rank).where(F.col("rank") <= limit)
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def fuse(lanes: DataFrame, k: int = 60) -> DataFrame:
@@ -43,23 +77,41 @@ def fit_budget(passages: DataFrame, budget: int, at_least: int = 1) -> DataFrame
     return passages.withColumn("cum_tokens", cum).where((F.col("cum_tokens") <= budget) | (F.col("rank") <= at_least))
 
 
+def prompt_order(passages: DataFrame, n: int) -> DataFrame:
+    """The first n passages, the best one last (TOP-6)."""
+    last = F.max("rank").over(Window.partitionBy("query_id"))
+    return passages.where(F.col("rank") <= n).withColumn("prompt_position", last - F.col("rank") + 1)
+
+
 def bm25(candidates: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.0) -> DataFrame:
-    """candidates(query_id, key, tokens), terms(query_id, term): candidate-local statistics (AGG-3)."""
-    every = Window.partitionBy("query_id")
-    c = candidates.select("query_id", "key", "tokens", F.size("tokens").alias("len"), F.count(F.lit(1)).over(every).alias("n"), F.avg(F.size("tokens")).over(every).alias("avg_len"))
-    tf = c.select("query_id", "key", "len", "n", "avg_len", F.explode("tokens").alias("term")).join(terms.distinct(), ["query_id", "term"]).groupBy("query_id", "key", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"), F.first("n").alias("n"), F.first("avg_len").alias("avg_len"))
-    tf = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("query_id", "term")))
+    """candidates(query_id, key, tokens), terms(query_id, term): candidate-local statistics (AGG-3).
+
+    Term counts are made in the row that holds the tokens, so neither tokens nor texts shuffle, and
+    a query of many candidates is no single task's."""
+    own = candidates.select("query_id", "key", F.size("tokens").alias("len"), "tokens")
+    totals = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    hits = own.select("query_id", "key", "len", F.explode("tokens").alias("term")).join(terms.distinct(), ["query_id", "term"])
+    tf = hits.groupBy("query_id", "key", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    tf = tf.join(df, ["query_id", "term"]).join(totals, "query_id")
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return tf.groupBy("query_id", "key").agg(F.sum(score).alias("score")).where("score > 0")
 
 
-def neighbours(winners: DataFrame, chunks: DataFrame, reach: int = 1) -> DataFrame:
-    """winners(query_id, winner_rank, file_path, chunk_index) with existing neighbours; the first claimant wins (JOIN-11)."""
+def neighbours(winners: DataFrame, candidates: DataFrame, reach: int = 1) -> DataFrame:
+    """winners(query_id, winner_rank, file_path, chunk_index, ...) with those candidates beside them that are no winners (JOIN-11).
+
+    The best winner that reaches a neighbour claims it and gives it all its other columns;
+    position is the order of winners, each among its own neighbours in the file's order."""
+    gone = [x for x in ("query_id",) if x in candidates.columns]
+    rest = [c for c in winners.columns if c not in ("query_id", "winner_rank", "file_path", "chunk_index")]
     near = winners.withColumn("offset", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("at", F.col("chunk_index") + F.col("offset"))
-    near = near.join(chunks.select("file_path", F.col("chunk_index").alias("at")).distinct(), ["file_path", "at"])
+    there = candidates.select(*gone, "file_path", F.col("chunk_index").alias("at")).distinct().withColumn("_there", F.lit(True))
+    near = near.join(there, [*gone, "file_path", "at"], "left").where("_there OR offset = 0")
     first = F.row_number().over(Window.partitionBy("query_id", "file_path", "at").orderBy(F.when(F.col("offset") == 0, 0).otherwise(1), "winner_rank"))
-    return near.withColumn("_r", first).where("_r = 1").select("query_id", "file_path", F.col("at").alias("chunk_index"), "winner_rank", "offset")
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy("winner_rank", "offset"))
+    return near.withColumn("_r", first).where("_r = 1").select("query_id", "file_path", F.col("at").alias("chunk_index"), "winner_rank", "offset", *rest, order.alias("position"))
 
 
 def adjacent_runs(passages: DataFrame) -> DataFrame:
@@ -70,11 +122,25 @@ def adjacent_runs(passages: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "file_path", "island").agg(F.array_join(parts["text"], " ").alias("text"), F.min("rank").alias("first_position"), F.count(F.lit(1)).alias("n_chunks")).drop("island")
 
 
-def trim_overlap(chunks: DataFrame) -> DataFrame:
+def trim_overlap(chunks: DataFrame, by: tuple[str, ...] = ("file_path",)) -> DataFrame:
     """Drops the words that a chunk repeats from the one before it (WIN-3)."""
-    w = Window.partitionBy("file_path").orderBy("chunk_index")
+    w = Window.partitionBy(*by).orderBy("chunk_index")
     toks = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     over = F.when(F.lag("chunk_index").over(w) == F.col("chunk_index") - 1, F.lag("end_index").over(w) - F.col("start_index"))
     rows = chunks.withColumn("_o", over).withColumn("_w", toks)
     cut = (F.col("_o") > 0) & (F.col("_o") < F.size("_w"))
     return rows.withColumn("text", F.when(cut, F.array_join(F.slice("_w", F.col("_o").cast("int") + 1, F.size("_w")), " ")).otherwise(F.col("text"))).drop("_o", "_w")
+
+
+def lane_counts(passages: DataFrame) -> DataFrame:
+    """passages(query_id, lanes): how many passages each lane had a part in (AGG-5)."""
+    has = lambda lane: F.count_if(F.array_contains("lanes", lane)).alias(lane)
+    return passages.groupBy("query_id").agg(*map(has, ("vector", "hyde", "keyword", "date")))
+
+
+def dated_chunks(catalog: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(query_id, key) of the chunks one of whose days, as YYYYMMDD, lies in a range of the query; joined by year (JOIN-7)."""
+    year = lambda c: F.floor(F.col(c) / 10000).cast("int")
+    years = ranges.where("start_day <= end_day").withColumn("year", F.explode(F.sequence(year("start_day"), year("end_day"))))
+    hit = catalog.withColumn("year", year("day")).join(years, "year").where(F.col("day").between(F.col("start_day"), F.col("end_day")))
+    return hit.select("query_id", "key").distinct()

@@ -1,14 +1,14 @@
 import pytest
-from quarry.plans import catalogue
+from quarry.plans import registry
 
 from oracle import same
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, name):
-    same(catalogue.QUERIES[name](spark, SF), catalogue.SQL[name], SF)
+    same(registry.QUERIES[name](spark, SF), registry.SQL[name], SF)
 
 
 def test_weight_zero_equals_lane_absent(spark):
