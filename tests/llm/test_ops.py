@@ -291,7 +291,3 @@ def test_empty(spark, odd):
         assert df.count() == 0
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    assert corpus_pipeline.run(spark, SF).count() > 0
