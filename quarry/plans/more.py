@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import report
 from ..functions import prompts
 from ..functions import text as T
 from ..operators import evaluation, indexing, retrieval
@@ -239,12 +240,19 @@ def converted_papers(s, d):
     return asked.select("id", "question", "sourceFile", F.md5("answerSnippet").alias("snippet_md5"))
 
 
+def structure_report(s, d):
+    """Every other line of the texts as a heading of one to four marks."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 2 == 0, F.concat(F.repeat(F.lit("#"), (i % 8 / 2 + 1).cast("int")), F.lit(" "), x)).otherwise(x))
+    r = report.structure_report(_t(s, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text")), 128, 16)
+    return r.select("doc_id", "h1", "h2", "h3", "legacy_chunks")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         retrieve_low, retrieve_medium, retrieve_high, diagnostic_pool_high, diagnostic_pool_low, signal_counts, answer_prompt, citations, date_catalog, catalog_years, dated_chunks, rebuilt_files, evidence_location,
         evidence_depth, scored_questions, question_problems, candidate_checks, known_failures, run_summary, failure_reasons, keyword_terms, error_lines, short_texts, match_labels, relative_paths, excluded_files,
-        embedding_texts, vectors, chunk_keys, calibrated_chunks, converted_papers,
+        embedding_texts, vectors, chunk_keys, calibrated_chunks, converted_papers, structure_report,
     )
 }
 
@@ -339,6 +347,12 @@ SQL = {
  m AS (SELECT *, greatest(1, floor(200 / (tk / len(w)) + 0.5))::INT AS size, floor(40 / (tk / len(w)) + 0.5)::INT AS lap FROM w WHERE len(w) > 0), z AS (SELECT *, greatest(1, size - least(greatest(lap, 0), size - 1)) AS step FROM m),
  c AS (SELECT *, unnest(range(0, greatest(0, ceil((len(w) - size) / step::DOUBLE))::INT + 1))::INT AS chunk_index FROM z)
  SELECT doc_id, chunk_index, chunk_index * step AS start_index, least(chunk_index * step + size, len(w))::INT AS end_index, md5(array_to_string(list_slice(w, chunk_index * step + 1, chunk_index * step + size), ' ')) AS text_md5 FROM c""",
+    "structure_report": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+ h AS (SELECT doc_id, count(*) FILTER (i % 8 = 0) AS h1, count(*) FILTER (i % 8 = 2) AS h2, count(*) FILTER (i % 8 IN (4, 6)) AS h3 FROM l WHERE i % 2 = 0 AND regexp_matches(x, '\S') GROUP BY 1),
+ p AS (SELECT doc_id, string_agg(CASE WHEN i % 2 = 0 AND regexp_matches(x, '\S') THEN x WHEN i % 2 = 0 THEN '' ELSE regexp_replace(x, '^[ \t]*-[ \t]+', '') END, ' ' ORDER BY i) AS t FROM l GROUP BY 1),
+ w AS (SELECT doc_id, len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS n FROM p), m AS (SELECT doc_id, n, greatest(1, floor(128 / (ceil(n * 1.3::DOUBLE) / n) + 0.5)) AS win, floor(16 / (ceil(n * 1.3::DOUBLE) / n) + 0.5) AS lap FROM w WHERE n > 0),
+ c AS (SELECT doc_id, (greatest(0, ceil((n - win) / greatest(1, win - least(lap, win - 1)))) + 1)::BIGINT AS k FROM m)
+ SELECT d.doc_id, coalesce(h1, 0) AS h1, coalesce(h2, 0) AS h2, coalesce(h3, 0) AS h3, coalesce(k, 0) AS legacy_chunks FROM documents d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "converted_papers": """WITH ids AS (SELECT DISTINCT conv_id FROM conversations ORDER BY lpad(conv_id::VARCHAR, 6, '0') LIMIT 50)
  SELECT conv_id || '-' || turn AS id, role AS question, lpad(conv_id::VARCHAR, 6, '0') || '.txt' AS sourceFile, md5(text) AS snippet_md5 FROM conversations JOIN ids USING (conv_id) WHERE turn % 2 <> 0 AND turn % 3 <> 0 AND trim(text) = text AND text <> ''""",
 }
