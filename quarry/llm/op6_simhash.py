@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, read, stored
+from .common import by_key, discard, read, stored
 
 SIMILARITY, COMMON_FROM, COMMON, BLOCK, MAX_BROADCAST = 0.8, 8192, 100_000, 1024, 200_000
 RADIUS, WIDTH, SAMPLE, TASK, MOST, LEAF, WORTH = 3, 3, 65536, 4096, 1 << 20, 128, 0.85
@@ -214,9 +214,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("rows")).select("a", F.least("a", "m").alias("m"), "rows")
         large = by_key(both.where("b > a"), low, "a", now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = stored(large, "cc-large")
+        before = edges
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("rows"))
         small = by_key(large, low, "a", now[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m").toDF("a", "b"))
         edges = stored(small.distinct(), "cc")
+        discard(before, large)
         now = edges.agg(*state).first()
     return edges
 
@@ -303,17 +305,31 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
         for pdf in batches:
             for i in range(0, len(pdf), 128):
                 part = pdf.iloc[i : i + 128]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "g": [np.unique(shingles(t, width)).view(np.int64) for t in part["text"]]})
+                own = [np.unique(shingles(t, width)) for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(g) for g in own], "g": [g.view(np.int64) for g in own], "h": [np.unique(g.astype(np.uint16)).view(np.int16) for g in own]})
 
-    def alike(pairs: DataFrame) -> DataFrame:
+    def alike(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs(a, b, ca, cb) the links ca, cb of those with the similarity."""
         pairs = stored(pairs.distinct(), "simhash-pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        sets = stored(docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("k"), "left_semi").mapInPandas(gram_sets, "doc_id long, g array<long>"), "simhash-sets")
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("gb")), "b")
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "simhash-ids")
+        sets = stored(docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("k"), "left_semi").mapInPandas(gram_sets, "doc_id long, n int, g array<long>, h array<short>"), "simhash-sets")
+
+        def beside(pairs: DataFrame, *columns: str) -> DataFrame:
+            for side in ("a", "b"):
+                pairs = pairs.join(sets.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}{side}") for c in columns]), side)
+            return pairs
+
+        # two bytes a shingle first: shared ones are at most the shared values and those that fell together
+        likely = beside(pairs, "h", "n")
+        lost = lambda x: F.col(f"n{x}") - F.size(f"h{x}")
+        most = F.least(F.size(F.array_intersect("ha", "hb")) + F.least(lost("a"), lost("b")), F.col("na"), F.col("nb"))
+        likely = stored(likely.where(most >= similarity * (F.col("na") + F.col("nb") - most) - 1e-9).select("a", "b", "ca", "cb"), "simhash-likely")
+        both = beside(likely, "g")
         shared = F.size(F.array_intersect("ga", "gb"))
         near = both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared))
-        return stored(near.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), "simhash-near")
+        out = stored(near.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), name)
+        discard(pairs, ids, sets, likely)
+        return out
 
     drawn = stored(docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, fp long, n int, h binary, first array<long>"), "simhash")
     rows = stored(classes(drawn.select("doc_id", "fp", "h")).select("doc_id", "h", "component_id").distinct(), "simhash-classes")
@@ -321,15 +337,17 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
     sets = stored(rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("component_id").alias("c")), "simhash-distinct")
     links0 = stored(rows.select("h", "component_id").distinct().join(sets, "h").where("component_id > c").select(F.col("component_id").alias("a"), F.col("c").alias("b")).distinct(), "simhash-equal")
     chosen = stored(drawn.select("doc_id", "n", "first").join(sets.select("doc_id", "c"), "doc_id"), "simhash-first")
+    discard(drawn)
     lists = chosen.select("doc_id", "n", "c", F.posexplode("first").alias("i", "g"))
     mixed = F.min("c") < F.max("c")
     kept = stored(lists.groupBy("g").agg(mixed.alias("mixed")).where("mixed").select("g"), "simhash-lists")
     lists = stored(lists.join(small(kept), "g"), "simhash-postings")
+    discard(chosen, kept)
 
     x = F.col("x")
     heads = lists.groupBy("g").agg(F.min(F.struct("doc_id", "n", "i", "c")).alias("x"))
     pairs = lists.join(heads, "g").where((F.col("c") != x["c"]) & could_reach(similarity, F.col("n"), F.col("i"), x["n"], x["i"]))
-    links1 = links0.union(alike(pairs.select(x["doc_id"].alias("a"), F.col("doc_id").alias("b"), x["c"].alias("ca"), F.col("c").alias("cb"))))
+    links1 = links0.union(alike(pairs.select(x["doc_id"].alias("a"), F.col("doc_id").alias("b"), x["c"].alias("ca"), F.col("c").alias("cb")), "simhash-near1"))
 
     star = components(links1).select(F.col("a").alias("c"), F.col("b").alias("root"))
     lists = lists.join(small(star), "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
@@ -341,7 +359,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
     lists = stored(lists.select("g", F.least("p", "o").alias("u"), F.greatest("p", "o").alias("v"), "doc_id", "n", "i", "c"), "simhash-blocks")
     y = lists.select("g", "u", "v", *[F.col(k).alias(f"{k}2") for k in ("doc_id", "n", "i", "c")])
     pairs = lists.join(y, ["g", "u", "v"]).where((F.col("doc_id") < F.col("doc_id2")) & (F.col("c") != F.col("c2")) & could_reach(similarity, F.col("n"), F.col("i"), F.col("n2"), F.col("i2")))
-    links2 = alike(pairs.select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b"), F.col("c").alias("ca"), F.col("c2").alias("cb")))
+    links2 = alike(pairs.select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b"), F.col("c").alias("ca"), F.col("c2").alias("cb")), "simhash-near2")
 
     star = components(links1.union(links2).distinct()).select(F.col("a").alias("component_id"), F.col("b").alias("root"))
     return rows.select("doc_id", "component_id").distinct().join(star, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
