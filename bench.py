@@ -10,7 +10,7 @@ from quarry.plans import registry
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-NAMES = ["vector_topk", "two_lane_rrf", "relevance_cut", "legacy_chunks", "trim_overlap", "neighbours", "adjacent_runs", "bm25", "snippet_containment", "incremental_plan", "structured_chunks"]
+NAMES = ["vector_topk", "two_lane_rrf", "retrieve_low", "retrieve_medium", "retrieve_high", "relevance_cut", "legacy_chunks", "trim_overlap", "neighbours", "adjacent_runs", "bm25", "snippet_containment", "rebuilt_files", "scored_questions", "latencies", "incremental_plan", "structured_chunks"]
 
 spark = SparkSession.builder.master(f"local[{CPUS}]").config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 spark.sparkContext.setLogLevel("ERROR")

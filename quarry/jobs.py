@@ -10,15 +10,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates
-from .functions.text import normalise_markdown as _normalise_markdown  # noqa: F401  part of the public functions
-from .functions.text import prefixed
+from .functions.text import markdown_plain, prefixed
 from .operators import chunking, evaluation, indexing
 from .operators.retrieve import diagnostic_pool, retrieve
-from .settings import FIXED_DEFAULTS, Settings
+from .settings import FIXED_DEFAULTS, Settings, snapshot
 from .sources import documents, files
 from .store import ChunkStore, RunLock, reason_counts
 
@@ -53,14 +52,22 @@ def embedded(rows: DataFrame, text: str, model: str, side: str, seams: Seams, ou
     return rows.withColumn(out, run(prefixed(model, F.col(text), side)))
 
 
+def counted(text: Column, count_tokens: Callable[[str], int]) -> Column:
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([count_tokens(t or "") for t in texts], dtype="int64")
+
+    return run(text)
+
+
 def chunk_rows(parsed: DataFrame, settings: Settings, seams: Seams) -> DataFrame:
     """Chunks of parsed(file_path, file_name, file_hash, mtime, text) with headers and dates, not embedded yet (ORC-7)."""
     docs = parsed.select(F.col("file_path").alias("doc_id"), "file_name", "mtime", "text")
     if settings.structured:
         out = chunking.chunk_documents(docs, settings.chunk_size, seams.count_tokens)
     else:
-        plain = docs.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"(?m)^#{1,6}[ \t]+", ""), r"(?m)^[ \t]*-[ \t]+", ""))
-        tokens = None if seams.count_tokens is None else F.pandas_udf(lambda s: s.map(seams.count_tokens).astype("int64"), "long")(F.col("text"))
+        plain = docs.withColumn("text", markdown_plain(F.col("text")))
+        tokens = None if seams.count_tokens is None else counted(F.col("text"), seams.count_tokens)
         out = indexing.window_chunks(plain, settings.chunk_size, settings.chunk_overlap, tokens).withColumn("context_header", F.lit(""))
         for c in ("embed_text", "section_path", "posted_date", "dates"):
             out = out.withColumn(c, F.lit(None).cast("string"))
@@ -150,8 +157,6 @@ def run_evaluation(store: ChunkStore, questions: DataFrame, root: str, settings:
     found = evaluation.metrics(rows).first().asDict()
     if not found["scored"] and not rows.isEmpty():
         raise ValueError("no question could be scored: none of their files is in the index; check the documents folder")
-    from .settings import snapshot
-
     report = {"settings": snapshot(settings, store.manifest(), questions=rows.count()), "metrics": found, "questions": [r.asDict() for r in rows.orderBy("id").collect()]}
     at = datetime.datetime.now(datetime.UTC).isoformat().replace(":", "-").replace(".", "-")
     store.files.write_new(f"reports/run-{at}.json", json.loads(json.dumps(report, default=str)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import report
@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import evaluation, indexing, retrieval
 from ..operators.retrieve import Options, diagnostic_pool, retrieve
 from ..sources import files, questions
+from ..store import reason_counts
 from . import catalogue
 
 OPTIONS = Options(threshold=0.2)
@@ -123,7 +124,7 @@ def _ranked_chunks(s, d):
     c = indexing.window_chunks(_t(s, d, "documents"), 64, 0).withColumnRenamed("doc_id", "file_path")
     q = _question_set(s, d)
     rows = q.select(F.col("id").alias("query_id"), "sourceFile").join(c, F.col("sourceFile") == F.col("file_path"))
-    order = retrieval.Window.partitionBy("query_id").orderBy(F.md5(F.concat_ws(":", "query_id", "chunk_index")))
+    order = Window.partitionBy("query_id").orderBy(F.md5(F.concat_ws(":", "query_id", "chunk_index")))
     return q, rows.select("query_id", F.row_number().over(order).alias("rank"), "file_path", "chunk_index", "text", "start_index", "end_index")
 
 
@@ -169,8 +170,6 @@ def run_summary(s, d):
 
 
 def failure_reasons(s, d):
-    from ..store import reason_counts
-
     return reason_counts(_t(s, d, "events").select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("reason")))
 
 

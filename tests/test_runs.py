@@ -162,3 +162,17 @@ def test_vector_topk_ties_nulls_and_blocks(spark, monkeypatch):
         got = sorted((r["query_id"], r["rank"], r["key"], r["score"]) for r in retrieval.vector_topk(chunks, q, 3, 0.6).collect())
         assert got == [("a", 1, 1, 1.0), ("a", 2, 3, 1.0), ("a", 3, 5, 1.0)]
     assert indexing.changed(spark.createDataFrame([(0, 1, 0)], "updated int, new_files int, deleted int")).first()[0]
+
+
+def test_report_and_commands(spark, folder, tmp_path, capsys):
+    from quarry import cli, report
+
+    docs = spark.createDataFrame([(1, "# A\n\n## B\n\n#### C\n\na | 1\nb | 2\n\nalone | x\n\n" + "word " * 60), (2, None), (3, "")], "doc_id int, text string")
+    rows = {r["doc_id"]: r for r in report.structure_report(docs, 40, 10).collect()}
+    assert tuple(rows[1][c] for c in report.COUNTS) == (1, 1, 1, 1, 2, 1) and rows[1]["legacy_chunks"] >= 2 and rows[1]["structured_chunks"] >= 2
+    assert rows[2]["legacy_chunks"] == rows[3]["structured_chunks"] == 0
+    total = report.totals(report.structure_report(docs, 40, 10)).first()
+    assert total["documents"] == 3 and total["fill_percent"] > 0
+    cli.main(["report", str(folder)])
+    assert json.loads(capsys.readouterr().out)["failed"] == 1
+    assert not cli.path_ignored(str(tmp_path / "q.json"))
