@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +68,15 @@ def fused(lanes: DataFrame, boost: DataFrame, o: Options) -> DataFrame:
     return out.withColumn("position", F.row_number().over(order)).drop("fused_position")
 
 
+def safe_lane(build: Callable[[], DataFrame]) -> DataFrame | None:
+    """A boost whose plan can't be made is left out, with a warning; it doesn't fail the query (ORC-2)."""
+    try:
+        return build()
+    except AnalysisException as e:
+        warnings.warn(f"a boost is left out: {e.getCondition() or e}", stacklevel=2)
+        return None
+
+
 def retrieve(chunks: DataFrame, questions: DataFrame, options: Options = Options(), ranges: DataFrame | None = None, catalog: DataFrame | None = None) -> DataFrame:
     """Passages of every question, best first.
 
@@ -78,7 +90,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, options: Options = Options
     if o.depth == "low":
         rows = lanes.where(F.col("rank") <= o.limit).join(about, "key")
         return rows.select("query_id", F.col("rank").alias("position"), "key", "file_path", "chunk_index", "text", "score", F.lit(None).cast("double").alias("similarity"), F.array().cast("array<string>").alias("lanes"))
-    dated = retrieval.dated_chunks(catalog, ranges) if catalog is not None and ranges is not None else None
+    dated = safe_lane(lambda: retrieval.dated_chunks(catalog, ranges)) if catalog is not None and ranges is not None else None
     winners = fused(lanes, boosts(lanes, chunks, questions, dated, o), o).where(F.col("position") <= o.limit)
     found = lanes.groupBy("query_id", "key").agg(F.max_by("score", "lane_no").alias("similarity"))
     candidates = found.join(about, "key")
@@ -94,5 +106,5 @@ def diagnostic_pool(chunks: DataFrame, questions: DataFrame, size: int, options:
     if options.depth == "low":
         return retrieval.vector_topk(chunks, questions.select("query_id", "vector"), size, float("-inf")).select("query_id", "key", F.col("rank").alias("position"))
     lanes = searched(chunks, questions, options)
-    dated = retrieval.dated_chunks(catalog, ranges) if catalog is not None and ranges is not None else None
+    dated = safe_lane(lambda: retrieval.dated_chunks(catalog, ranges)) if catalog is not None and ranges is not None else None
     return fused(lanes, boosts(lanes, chunks, questions, dated, options), options).where(F.col("position") <= size).select("query_id", "key", "position")

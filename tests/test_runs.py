@@ -167,7 +167,7 @@ def test_vector_topk_ties_nulls_and_blocks(spark, monkeypatch):
 def test_report_and_commands(spark, folder, tmp_path, capsys):
     from quarry import cli, report
 
-    docs = spark.createDataFrame([(1, "# A\n\n## B\n\n#### C\n\na | 1\nb | 2\n\nalone | x\n\n" + "word " * 60), (2, None), (3, "")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, "# A\n\n## B\n\n#### C\n\na | 1\nb | 2\n\nText.\n\nalone | x\n\n" + "word " * 60), (2, None), (3, "")], "doc_id int, text string")
     rows = {r["doc_id"]: r for r in report.structure_report(docs, 40, 10).collect()}
     assert tuple(rows[1][c] for c in report.COUNTS) == (1, 1, 1, 1, 2, 1) and rows[1]["legacy_chunks"] >= 2 and rows[1]["structured_chunks"] >= 2
     assert rows[2]["legacy_chunks"] == rows[3]["structured_chunks"] == 0
@@ -176,3 +176,29 @@ def test_report_and_commands(spark, folder, tmp_path, capsys):
     cli.main(["report", str(folder)])
     assert json.loads(capsys.readouterr().out)["failed"] == 1
     assert not cli.path_ignored(str(tmp_path / "q.json"))
+
+
+def test_drafts_are_kept_by_model_and_id(spark, tmp_path):
+    from quarry.sources.drafts import drafts_name, with_drafts
+    from quarry.store import JsonFiles
+
+    files, name = JsonFiles(str(tmp_path)), drafts_name("q.json", "a/b model")
+    q = spark.createDataFrame([("1", "one"), ("2", "zwei"), ("3", " ")], "id string, question string")
+    asked = []
+    answer = lambda prompt: asked.append(prompt) or ("" if "zwei" in prompt else "draft")
+    rows, counts = with_drafts(q, files, name, "m", answer)
+    assert name == "q.drafts.a-b-model.json" and counts == {"hits": 0, "misses": 3}
+    assert {r["id"]: r["draft"] for r in rows.collect()} == {"1": "draft", "2": None, "3": None}
+    assert with_drafts(q, files, name, "m", answer)[1] == {"hits": 1, "misses": 2}
+    assert with_drafts(q, files, name, "other", answer)[1]["hits"] == 0 and with_drafts(q, files, name, "m", answer, regenerate=True)[1]["hits"] == 0
+
+
+def test_a_boost_that_has_no_plan_is_left_out(spark):
+    from quarry.operators.retrieve import Options, retrieve
+
+    chunks = spark.createDataFrame([(1, "f", 0, "tea cups", [1.0, 0.0])], "key long, file_path string, chunk_index int, text string, vector array<double>")
+    q = spark.createDataFrame([(7, "tea", [1.0, 0.1])], "query_id long, question string, vector array<double>")
+    broken = spark.createDataFrame([(1,)], "nothing int")
+    with pytest.warns(UserWarning, match="left out"):
+        rows = retrieve(chunks, q, Options(), broken, broken).collect()
+    assert [(r["key"], r["lanes"]) for r in rows] == [(1, ["vector", "keyword"])]
