@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANK = r"[\x20\x09-\x0D]+"
-HOT, HOT_KEYS = 10_000, 100_000
+HOT, HOT_KEYS, BATCH = 10_000, 100_000, 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,14 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get BATCH rows at a time: ten times as many texts, beside what is made of them, take hundreds of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage, survives lost executors.
 
     What comes after reads the table, so the shuffle files behind it go when it is written."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark, tidy = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(tidy)
+    spark.conf.set(tidy, "true")
     df.write.parquet(path)
+    spark.conf.set(tidy, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 
 DIM, SAMPLE, LANGS, CENTROIDS, ROUNDS, REJECT, MARGIN = 1 << 14, 1000, 200, 4, 8, 0.005, 0.8
 
@@ -91,6 +91,7 @@ def train(rows: pd.DataFrame, k: int = CENTROIDS) -> dict:
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """Every column of docs, lang_pred, score and rejected."""
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -111,6 +112,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 def sample(docs: DataFrame, per_lang: int = SAMPLE, langs: int = LANGS) -> pd.DataFrame:
     """(lang, h, v) of about per_lang rows, never over 1.5 times as many, of each of the most frequent languages."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
     if not often:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_key, discard, read, stored
+from .common import by_key, discard, read, small_batches, stored
 
 SIMILARITY, COMMON_FROM, COMMON, BLOCK, MAX_BROADCAST = 0.8, 8192, 100_000, 1024, 200_000
 RADIUS, WIDTH, SAMPLE, TASK, MOST, LEAF, WORTH = 3, 3, 65536, 4096, 1 << 20, 128, 0.85
@@ -236,6 +236,7 @@ def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (signed), component_id."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fp_of(texts: pd.Series) -> pd.Series:
@@ -286,6 +287,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
     list that are not linked yet are compared by whole sets: first each with the list's smallest id,
     which links most copies, then all that are still apart, long lists block by block. Rows without
     a doc_id are left out; repeated rows give one; texts without words are one class."""
+    small_batches(docs.sparkSession)
     docs = docs.where("doc_id IS NOT NULL")
     common, counts = common_shingles(docs, width)
 
