@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import by_key, discard, read, small_batches, stored
 
 SIMILARITY, COMMON_FROM, COMMON, BLOCK, MAX_BROADCAST = 0.8, 8192, 100_000, 1024, 200_000
+LONG, RAISED, ROUNDS = 8, 1 << 20, 8
 RADIUS, WIDTH, SAMPLE, TASK, MOST, LEAF, WORTH = 3, 3, 65536, 4096, 1 << 20, 128, 0.85
 HALVES, ALL = (0xFFFFFFFF, 0xFFFFFFFF00000000), 0xFFFFFFFFFFFFFFFF
 
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about COMMON_FROM documents share, sorted, and how many share them: an order only, so a sample does."""
+    """Shingles that several of about COMMON_FROM documents share, sorted, and about how many of all share them: an order only, so a sample does."""
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -254,9 +255,10 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
                 sets = [np.unique(shingles(t, width)) for t in pdf["text"].iloc[i : i + 128]]
                 yield pd.DataFrame({"g": np.concatenate(sets).view(np.int64)})
 
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // COMMON_FROM))) == 0)
+    step = max(1, docs.count() // COMMON_FROM)
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
     most = part.select("text").mapInPandas(grams, "g long").groupBy("g").count().where("count > 2").orderBy(F.desc("count"), "g").limit(COMMON).collect()
-    g, n = np.array([r[0] for r in most], np.int64).view(np.uint64), np.array([r[1] for r in most], np.int64)
+    g, n = np.array([r[0] for r in most], np.int64).view(np.uint64), np.array([r[1] * step for r in most], np.int64)
     order = np.argsort(g)
     return g[order], n[order]
 
@@ -268,6 +270,59 @@ def rarest_first(grams: np.ndarray, common: np.ndarray, counts: np.ndarray) -> n
     return grams[np.lexsort((grams, np.where(common[at] == grams, counts[at], 0)))]
 
 
+def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Of distinct shingles as many of the rarest as two sets of the similarity need to have one in common."""
+    n = len(grams)
+    return rarest_first(grams, common, counts)[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def shorter_lists(docs: DataFrame, chosen: DataFrame, sets: DataFrame, common: np.ndarray, counts: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """chosen(doc_id, n, first, c), stored, with other prefixes where a list of theirs has LONG documents or more.
+
+    A passage that some documents in a million share is too rare for the sample: its shingles count as
+    rare, lead the prefixes, and the pairs in their lists grow with the square of the input. So each
+    round the shingles of long lists (the RAISED longest) rank by the length of their list, and the
+    documents that list them get prefixes in the new order. Another document's prefix stays as it is
+    in that order, since shingles only move back: the order is one for all, and no pair is lost. After
+    the first round only the lists of the prefixes drawn last are counted."""
+    n, last = F.count(F.lit(1)), None
+    for _ in range(ROUNDS):
+
+        def unknown(batches: Iterator[pd.DataFrame], common: np.ndarray = common) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf[~np.isin(pdf["g"].to_numpy(np.int64).view(np.uint64), common)]
+
+        def redraw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for i in range(0, len(pdf), 256):
+                    own = [np.unique(shingles(t, width)) for t in pdf["text"].iloc[i : i + 256]]
+                    yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[i : i + 256], "n": [len(g) for g in own], "first": [prefix(g, common, counts, similarity).view(np.int64) for g in own]})
+
+        lists = chosen.select("doc_id", "c", F.explode("first").alias("g"))
+        recent = lists if last is None else lists.join(small(last), F.col("doc_id") == F.col("k"), "left_semi")
+        long = recent.groupBy("g").agg(n.alias("rows"), (F.min("c") < F.max("c")).alias("mixed")).where(F.col("mixed") & (F.col("rows") >= LONG)).select("g", "rows")
+        long = stored(long.mapInPandas(unknown, "g long, rows long").orderBy(F.desc("rows"), "g").limit(RAISED), "simhash-long")
+        new = long.toArrow()
+        if last is not None:
+            discard(last)
+        if not new.num_rows:
+            discard(long)
+            return chosen
+        ids = stored(lists.join(small(long), "g", "left_semi").select(F.col("doc_id").alias("k")).distinct(), "simhash-ids")
+        common = np.concatenate([common, new["g"].to_numpy().view(np.uint64)])
+        counts = np.concatenate([counts, new["rows"].to_numpy()])
+        order = np.argsort(common)
+        common, counts = common[order], counts[order]
+        drawn = docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("k"), "left_semi").mapInPandas(redraw, "doc_id long, n int, first array<long>")
+        drawn = drawn.join(sets.select("doc_id", "c"), "doc_id").select("doc_id", "n", "first", "c")
+        before = chosen
+        chosen = stored(chosen.join(small(ids), F.col("doc_id") == F.col("k"), "left_anti").select("doc_id", "n", "first", "c").union(drawn), "simhash-first")
+        discard(before, long)
+        last = ids
+    discard(last)
+    return chosen
+
+
 def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
@@ -298,9 +353,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
                 for d, t in zip(pdf["doc_id"].iloc[i : i + 256], pdf["text"].iloc[i : i + 256], strict=True):
                     grams = shingles(t, width)
                     own = np.unique(grams)
-                    n = len(own)
-                    first = rarest_first(own, common, counts)[: n - math.ceil(similarity * n - 1e-9) + 1]
-                    rows.append((d, folded(grams), n, xxhash.xxh3_128_digest(own.tobytes()), first.view(np.int64)))
+                    rows.append((d, folded(grams), len(own), xxhash.xxh3_128_digest(own.tobytes()), prefix(own, common, counts, similarity).view(np.int64)))
                 yield pd.DataFrame(rows, columns=["doc_id", "fp", "n", "h", "first"])
 
     def gram_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -340,6 +393,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
     links0 = stored(rows.select("h", "component_id").distinct().join(sets, "h").where("component_id > c").select(F.col("component_id").alias("a"), F.col("c").alias("b")).distinct(), "simhash-equal")
     chosen = stored(drawn.select("doc_id", "n", "first").join(sets.select("doc_id", "c"), "doc_id"), "simhash-first")
     discard(drawn)
+    chosen = shorter_lists(docs, chosen, sets, common, counts, width, similarity)
     lists = chosen.select("doc_id", "n", "c", F.posexplode("first").alias("i", "g"))
     mixed = F.min("c") < F.max("c")
     kept = stored(lists.groupBy("g").agg(mixed.alias("mixed")).where("mixed").select("g"), "simhash-lists")

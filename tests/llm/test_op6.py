@@ -60,3 +60,33 @@ def test_hot_keys_join_by_broadcast(spark, monkeypatch):
     table = rows.groupBy("k").agg({"*": "count"}).toDF("k", "rows").withColumnRenamed("rows", "n").selectExpr("k", "k * 10 AS x", "n AS rows")
     got = sorted(tuple(r) for r in common.by_key(rows, table, "k", 100).select("k", "v", "x").collect())
     assert got == sorted((r["k"], r["v"], r["k"] * 10) for r in rows.collect())
+
+
+def test_passages_too_rare_for_the_sample_make_few_pairs(spark, monkeypatch):
+    """400 documents, each with 3 of 30 passages that 40 documents share, and 20 near copies: all links, from few pairs."""
+    rng, pairs, stored = np.random.default_rng(11), [], op6_simhash.stored
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passages = [words(40) for _ in range(30)]
+    texts = [words(100) + sum((passages[(i + k * (1 + i // 30)) % 30] for k in range(3)), []) + words(100) for i in range(400)]
+    texts += [t[:50] + ["changed"] + t[51:-5] for t in texts[::20]]
+    sets = [set(op6_simhash.shingles(" ".join(t), 5).tolist()) for t in texts]
+    fps = [op6_simhash.fingerprint(" ".join(t), 5) for t in texts]
+    want = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            common = len(sets[a] & sets[b])
+            if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common) or (fps[a] ^ fps[b]).bit_count() <= 3:
+                old, new = max(want[a], want[b]), min(want[a], want[b])
+                want = [new if x == old else x for x in want]
+
+    def counted(df, name):
+        out = stored(df, name)
+        pairs.extend([out.count()] if name == "simhash-pairs" else [])
+        return out
+
+    monkeypatch.setattr(op6_simhash, "COMMON_FROM", 10)
+    monkeypatch.setattr(op6_simhash, "stored", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in op6_simhash.similar_documents(docs).collect()}
+    assert got == dict(enumerate(want)) and sum(i != w for i, w in enumerate(want)) >= 20
+    assert sum(pairs) <= 2 * len(texts), pairs
