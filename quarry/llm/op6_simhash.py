@@ -356,34 +356,39 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMIL
                     rows.append((d, folded(grams), len(own), xxhash.xxh3_128_digest(own.tobytes()), prefix(own, common, counts, similarity).view(np.int64)))
                 yield pd.DataFrame(rows, columns=["doc_id", "fp", "n", "h", "first"])
 
-    def gram_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gram_sets(batches: Iterator[pd.DataFrame], short: bool) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 128):
                 part = pdf.iloc[i : i + 128]
                 own = [np.unique(shingles(t, width)) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(g) for g in own], "g": [g.view(np.int64) for g in own], "h": [np.unique(g.astype(np.uint16)).view(np.int16) for g in own]})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(g) for g in own], "g": [np.unique(g.astype(np.uint16)).view(np.int16) if short else g.view(np.int64) for g in own]})
 
     def alike(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs(a, b, ca, cb) the links ca, cb of those with the similarity."""
         pairs = stored(pairs.distinct(), "simhash-pairs")
-        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "simhash-ids")
-        sets = stored(docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("k"), "left_semi").mapInPandas(gram_sets, "doc_id long, n int, g array<long>, h array<short>"), "simhash-sets")
 
-        def beside(pairs: DataFrame, *columns: str) -> DataFrame:
+        def beside(pairs: DataFrame, short: bool) -> tuple[DataFrame, DataFrame]:
+            """pairs with na, nb and the sets ga, gb, and the stored table of the sets."""
+            ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "simhash-ids")
+            texts = docs.select("doc_id", "text").join(small(ids), F.col("doc_id") == F.col("k"), "left_semi")
+            sets = stored(texts.mapInPandas(lambda x: gram_sets(x, short), f"doc_id long, n int, g array<{'short' if short else 'long'}>"), "simhash-sets")
+            discard(ids)
             for side in ("a", "b"):
-                pairs = pairs.join(sets.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}{side}") for c in columns]), side)
-            return pairs
-
-        # two bytes a shingle first: shared ones are at most the shared values and those that fell together
-        likely = beside(pairs, "h", "n")
-        lost = lambda x: F.col(f"n{x}") - F.size(f"h{x}")
-        most = F.least(F.size(F.array_intersect("ha", "hb")) + F.least(lost("a"), lost("b")), F.col("na"), F.col("nb"))
-        likely = stored(likely.where(most >= similarity * (F.col("na") + F.col("nb") - most) - 1e-9).select("a", "b", "ca", "cb"), "simhash-likely")
-        both = beside(likely, "g")
+                pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("g").alias(f"g{side}")), side)
+            return pairs, sets
+
+        # two bytes a shingle first: shared ones are at most the shared values and those that fell together.
+        # Whole sets, four times as large, are made for the likely pairs only
+        both, sets = beside(pairs, True)
+        lost = lambda x: F.col(f"n{x}") - F.size(f"g{x}")
         shared = F.size(F.array_intersect("ga", "gb"))
-        near = both.where(shared >= similarity * (F.size("ga") + F.size("gb") - shared))
+        most = F.least(shared + F.least(lost("a"), lost("b")), F.col("na"), F.col("nb"))
+        likely = stored(both.where(most >= similarity * (F.col("na") + F.col("nb") - most) - 1e-9).select("a", "b", "ca", "cb"), "simhash-likely")
+        discard(pairs, sets)
+        both, sets = beside(likely, False)
+        near = both.where(shared >= similarity * (F.col("na") + F.col("nb") - shared))
         out = stored(near.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct(), name)
-        discard(pairs, ids, sets, likely)
+        discard(sets, likely)
         return out
 
     drawn = stored(docs.select("doc_id", "text").mapInPandas(sketch, "doc_id long, fp long, n int, h binary, first array<long>"), "simhash")

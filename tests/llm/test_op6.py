@@ -90,3 +90,21 @@ def test_passages_too_rare_for_the_sample_make_few_pairs(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in op6_simhash.similar_documents(docs).collect()}
     assert got == dict(enumerate(want)) and sum(i != w for i, w in enumerate(want)) >= 20
     assert sum(pairs) <= 2 * len(texts), pairs
+
+
+def test_whole_sets_are_made_for_likely_pairs_only(spark, monkeypatch):
+    """20 pairs of texts 0.7 alike and 2 near copies: only the copies' whole shingle sets are stored."""
+    rng, whole, stored = np.random.default_rng(5), [], op6_simhash.stored
+    base = [[f"w{x}" for x in rng.integers(0, 10**9, 200)] for _ in range(22)]
+    other = [t[:164] + [f"v{x}" for x in rng.integers(0, 10**9, 36)] for t in base[:20]] + [t[:-2] for t in base[20:]]
+
+    def seen(df, name):
+        out = stored(df, name)
+        whole.extend(r["doc_id"] for r in out.collect() if name == "simhash-sets" and "array<bigint>" in dict(out.dtypes).values())
+        return out
+
+    monkeypatch.setattr(op6_simhash, "stored", seen)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(base + other)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in op6_simhash.similar_documents(docs).collect()}
+    assert got == {i: i - 22 if i in (42, 43) else i for i in range(44)}
+    assert set(whole) <= {20, 21, 42, 43}
