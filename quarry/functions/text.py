@@ -122,9 +122,24 @@ def shortened(text: Column, lines: int = 3, chars: int = 400) -> Column:
     return F.when((F.size(full) > lines) | (F.length(text) > F.length(cut)), F.concat(F.rtrim(cut), F.lit("\u2026"))).otherwise(cut)
 
 
+def three_decimals(x: Column) -> Column:
+    """Three decimals of the exact binary value, an exact tie to the even digit, as printf has it; format_string rounds the shortest decimal form up."""
+    x = x.cast("double")
+    whole = F.floor(F.abs(x))
+    part = F.abs(x) - whole.cast("double")
+    n = F.floor(part * 1000)
+    # 125 x part less the tie's (2n + 1) / 16, in two halves of few bits, so that no step but the last one rounds
+    high = F.floor(part * 2**26).cast("double") / 2**26
+    over = (high * 125 - (n * 2 + 1) / F.lit(16.0)) + (part - high) * 125
+    n = n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    shown = F.concat(sign, (whole + F.when(n == 1000, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    return F.when(F.abs(x) < 2.0**62, shown).when(x.isNotNull(), F.replace(F.lower(F.format_string("%.3f", x)), F.lit("infinity"), F.lit("inf")))
+
+
 def match_label(position: Column, lanes: Column, score: Column) -> Column:
     """How a passage was found (TXT-26)."""
     # The names of the lanes.
     names = F.create_map(*[F.lit(x) for x in ("vector", "meaning", "hyde", "likely wording", "keyword", "keywords", "date", "dates")])
     via = F.array_join(F.transform(lanes, lambda x: F.coalesce(names[x], x)), ", ")
-    return F.when(F.size(F.coalesce(lanes, F.array())) == 0, F.concat(F.lit("score: "), F.format_string("%.3f", score))).otherwise(F.concat(F.lit("match #"), position.cast("string"), F.lit(" via "), via))
+    return F.when(F.size(F.coalesce(lanes, F.array())) == 0, F.concat(F.lit("score: "), three_decimals(score))).otherwise(F.concat(F.lit("match #"), position.cast("string"), F.lit(" via "), via))

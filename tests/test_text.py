@@ -43,3 +43,17 @@ def test_structured_chunks_keep_every_word_once():
         assert [w for x in own for w in x] == md.split()
         assert [c["start_index"] for c in got] == [0, *(c["end_index"] for c in got[:-1])]
         assert all(len(x) <= 30 for x in own)
+
+
+def test_match_label_rounds_the_binary_value(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from quarry.functions.text import match_label
+
+    rng = random.Random(5)
+    values = [0.0625, 0.1875, 0.0005, 1.0005, 0.1235, 0.9995, 0.99951, -0.0625, -0.0001, -0.0, 0.0, 1e-300, 4503599627370495.5, 2.0**61, 123456789.0625, float("inf"), float("-inf")]
+    values += [k / 16 for k in range(1, 200)] + [k / 10000 for k in range(5, 20000, 10)] + [rng.random() * 10 ** rng.randint(-6, 12) for _ in range(2000)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i int, v double")
+    got = {r["i"]: r["l"] for r in rows.select("i", match_label(F.col("i"), F.array().cast("array<string>"), F.col("v")).alias("l")).collect()}
+    assert [got[i] for i in range(len(values))] == [f"score: {v:.3f}" for v in values] and got[len(values)] is None
