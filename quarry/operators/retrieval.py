@@ -5,53 +5,102 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PACK, MAX_BROADCAST_BYTES = 1024, 64 << 20
-
-
-def packed(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(ids, n, data): up to PACK unit vectors of a partition in one row, as float64; rows without a vector or a length are left out."""
-    kind = rows.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[pdf["v"].notna()]
-            for i in range(0, len(pdf), PACK):
-                part = pdf.iloc[i : i + PACK]
-                m = np.stack([np.asarray(v, np.float64) for v in part["v"]])
-                norm = np.linalg.norm(m, axis=1)
-                use = norm > 0
-                if use.any():
-                    yield pd.DataFrame({"ids": [part["k"].to_numpy()[use].tolist()], "n": [int(use.sum())], "data": [(m[use] / norm[use, None]).tobytes()]})
-
-    return rows.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("k IS NOT NULL").mapInPandas(run, f"ids array<{kind}>, n int, data binary")
+PACK, CHUNK_PARTS, QUERY_ROWS, QUERY_PARTS = 1024, 8, 4096, 16
+MAX_BROADCAST_BYTES = 64 << 20  # of query vectors that a task gets
+
+
+class Best:
+    """The best `limit` chunks so far of each of a block of queries; ties by key."""
+
+    def __init__(self, queries: np.ndarray, limit: int, threshold: float) -> None:
+        self.queries, self.limit, self.threshold = queries, limit, threshold
+        self.cut = np.full(len(queries), threshold)  # what a chunk must reach
+        self.parts: list[tuple] = []  # (query, score, key) of candidates
+        self.fresh = 0
+
+    def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        s = self.queries @ vectors.T
+        near = 1e-11  # more than rounding moves a score
+        at = s >= self.cut[:, None] - near
+        if len(keys) > self.limit and np.count_nonzero(at) > self.limit * len(s):
+            at &= s >= np.partition(s, -self.limit, axis=1)[:, -self.limit, None] - near
+        i, j = np.nonzero(at)
+        if len(i):
+            self.parts.append((i, np.round(s[i, j], 12), keys[j]))
+            self.fresh += len(i)
+        if self.fresh > 2 * self.limit * len(s):
+            self.kept()
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, int), np.empty(0), np.empty(0, int)
+        i, s, k = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((k, -s, i))
+        i, s, k = i[order], s[order], k[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        use = (place < self.limit) & (s >= self.threshold)
+        full = use & (place == self.limit - 1)
+        self.cut[i[full]] = s[full]
+        self.parts, self.fresh = [(i[use], s[use], k[use])], 0
+        return self.parts[0]
+
+
+def unit_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows have a length, their vectors of length 1)."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = flat.reshape(len(column), -1)
+    norm = np.linalg.norm(m, axis=1)
+    use = norm > 0
+    return use, m[use] / norm[use, None]
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, limit: int, threshold: float) -> DataFrame:
     """chunks(key, vector) x queries(query_id, vector): exact cosine to 12 digits, threshold inclusive, ties by key (TOP-1, FLT-3).
 
-    A pack of chunks meets a pack of queries in one matrix product, which sends at most `limit` rows
-    a query on; packs of queries are broadcast if they take at most MAX_BROADCAST_BYTES."""
-    c, q = packed(chunks, "key", "vector"), packed(queries, "query_id", "vector").toDF("query_ids", "m", "query_data")
-    size = q.agg(F.sum(F.octet_length("query_data"))).first()[0] or 0
+    The chunks are dealt into CHUNK_PARTS parts, the queries by QUERY_ROWS into at most QUERY_PARTS (more
+    if a part took over MAX_BROADCAST_BYTES), and each pair of parts is one task: it holds its queries with
+    their best `limit` chunks so far, while the chunks stream past in blocks of a matrix product. So the
+    work is all pairs, but the rows that leave the tasks are CHUNK_PARTS x limit a query."""
     kinds = [x.schema[k].dataType.simpleString() for x, k in ((queries, "query_id"), (chunks, "key"))]
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                a, b = np.frombuffer(r.data).reshape(r.n, -1), np.frombuffer(r.query_data).reshape(r.m, -1)
-                scores, keys = np.round(b @ a.T, 12), np.asarray(r.ids)
-                out = []
-                for query, s in zip(r.query_ids, scores, strict=True):
-                    at = np.flatnonzero(s >= max(threshold, np.partition(s, -limit)[-limit] if len(s) > limit else -np.inf))
-                    at = at[np.lexsort((keys[at], -s[at]))[:limit]]
-                    out.append(pd.DataFrame({"query_id": query, "key": keys[at], "score": s[at]}))
-                yield pd.concat(out)
-
-    pairs = c.crossJoin(F.broadcast(q) if size <= MAX_BROADCAST_BYTES else q).mapInPandas(best, f"query_id {kinds[0]}, key {kinds[1]}, score double")
+    q = queries.where("query_id IS NOT NULL AND size(vector) > 0")
+    c = chunks.where("key IS NOT NULL AND size(vector) > 0")
+    vector = F.col("vector") if q.schema["vector"].dataType == c.schema["vector"].dataType else F.col("vector").cast("array<double>")
+    n, numbers = q.agg(F.count(F.lit(1)), F.sum(F.size("vector"))).first()
+    parts = max(1, min(n, max(min(QUERY_PARTS, -(-n // QUERY_ROWS)), -(-8 * (numbers or 0) // max(1, MAX_BROADCAST_BYTES)))))
+    part = lambda k, n: F.pmod(F.xxhash64(k), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select(F.lit(0).alias("side"), part("query_id", parts).alias("a"), every(CHUNK_PARTS).alias("b"), "query_id", F.lit(None).cast(kinds[1]).alias("key"), vector.alias("vector"))
+    c = c.select(F.lit(1).alias("side"), every(parts).alias("a"), part("key", CHUNK_PARTS).alias("b"), F.lit(None).cast(kinds[0]).alias("query_id"), "key", vector.alias("vector"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, blocks, kind = [], None, None
+        for batch in batches:
+            n = np.count_nonzero(batch.column("side").to_numpy() == 0)  # the queries come first
+            if n:
+                use, vectors = unit_vectors(batch.column("vector").slice(0, n))
+                ids.append((batch.column("query_id").slice(0, n).filter(pa.array(use)), vectors))
+            if n == len(batch) or not ids:
+                continue
+            if blocks is None:
+                names, m, kind = pa.concat_arrays([x for x, _ in ids]), np.concatenate([v for _, v in ids]), batch.schema.field("key").type
+                blocks = [(names.slice(i, PACK), Best(m[i : i + PACK], limit, threshold)) for i in range(0, len(m), PACK)]
+            use, vectors = unit_vectors(batch.column("vector").slice(n))
+            keys = batch.column("key").slice(n).to_numpy(zero_copy_only=False)[use]
+            keys = np.asarray(keys.tolist()) if keys.dtype == object else keys
+            for i in range(0, len(keys), PACK):
+                for _, b in blocks:
+                    b.add(keys[i : i + PACK], vectors[i : i + PACK])
+        for names, b in blocks or []:
+            i, s, k = b.kept()
+            if len(i):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), pa.array(k, kind), pa.array(s)], ["query_id", "key", "score"])
+
+    dealt = q.union(c).repartitionById(parts * CHUNK_PARTS, F.col("a") * CHUNK_PARTS + F.col("b")).sortWithinPartitions("side")
+    pairs = dealt.select("side", "query_id", "key", "vector").mapInArrow(best, f"query_id {kinds[0]}, key {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= limit)
 

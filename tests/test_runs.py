@@ -202,3 +202,34 @@ def test_a_boost_that_has_no_plan_is_left_out(spark):
     with pytest.warns(UserWarning, match="left out"):
         rows = retrieve(chunks, q, Options(), broken, broken).collect()
     assert [(r["key"], r["lanes"]) for r in rows] == [(1, ["vector", "keyword"])]
+
+
+def test_best_chunks_of_a_block_stay_few():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    chunks, q = rng.integers(-2, 3, (3000, 3)).astype(float), rng.integers(-2, 3, (5, 3)) + 0.5
+    best = retrieval.Best(q, 4, 1.0)
+    keys = rng.permutation(3000)
+    for i in range(0, 3000, 100):
+        best.add(keys[i : i + 100], chunks[i : i + 100])
+        assert best.fresh <= 2 * 4 * len(q) and sum(len(x) for x, _, _ in best.parts) <= 3 * 4 * len(q)
+    i, s, k = best.kept()
+    want = [sorted((-round(float(a @ b), 12), key) for b, key in zip(chunks, keys.tolist(), strict=True) if a @ b >= 1)[:4] for a in q]
+    assert [[(-float(x), int(y)) for n, x, y in zip(i, s, k, strict=True) if n == at] for at in range(len(q))] == want
+
+
+def test_vector_topk_of_many_parts(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 4))
+    chunks = spark.createDataFrame([(f"k{i:03}", x.tolist()) for i, x in enumerate(v)], "key string, vector array<double>")
+    q = chunks.where("key < 'k020'").selectExpr("key AS query_id", "CAST(vector AS array<float>) AS vector")
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 6)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    query = v[:20].astype(np.float32).astype(float)
+    scores = np.round(query / np.linalg.norm(query, axis=1, keepdims=True) @ unit.T, 12)
+    want = {(f"k{i:03}", f"k{k:03}") for i in range(20) for k in np.lexsort((np.arange(400), -scores[i]))[:7] if scores[i, k] >= 0.1}
+    rows = retrieval.vector_topk(chunks, q, 7, 0.1).collect()
+    assert {(r["query_id"], r["key"]) for r in rows} == want and len(rows) == len(want)
