@@ -139,7 +139,8 @@ def bm25(candidates: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.
     a query of many candidates is no single task's."""
     own = candidates.select("query_id", "key", F.size("tokens").alias("len"), "tokens")
     totals = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    hits = own.select("query_id", "key", "len", F.explode("tokens").alias("term")).join(terms.distinct(), ["query_id", "term"])
+    # explode would have Spark cut the tokens of all texts into a filter below the joins that made the candidates
+    hits = own.select("query_id", "key", "len", F.explode_outer("tokens").alias("term")).join(terms.distinct(), ["query_id", "term"])
     tf = hits.groupBy("query_id", "key", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
     tf = tf.join(df, ["query_id", "term"]).join(totals, "query_id")
@@ -187,6 +188,12 @@ def lane_counts(passages: DataFrame) -> DataFrame:
     return passages.groupBy("query_id").agg(*map(has, ("vector", "hyde", "keyword", "date")))
 
 
+def dated_among(candidates: DataFrame, catalog: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(query_id, key) of the candidates(query_id, key) that dated_chunks has, without the dated chunks of a query that are no candidates."""
+    own = candidates.join(ranges.where("start_day <= end_day"), "query_id").join(catalog, "key")
+    return own.where(F.col("day").between(F.col("start_day"), F.col("end_day"))).select("query_id", "key").distinct()
+
+
 def dated_chunks(catalog: DataFrame, ranges: DataFrame) -> DataFrame:
     """(query_id, key) of the chunks one of whose days, as YYYYMMDD, lies in a range of the query; joined by year (JOIN-7)."""
     year = lambda c: F.floor(F.col(c) / 10000).cast("int")

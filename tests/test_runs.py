@@ -233,3 +233,24 @@ def test_vector_topk_of_many_parts(spark, monkeypatch):
     want = {(f"k{i:03}", f"k{k:03}") for i in range(20) for k in np.lexsort((np.arange(400), -scores[i]))[:7] if scores[i, k] >= 0.1}
     rows = retrieval.vector_topk(chunks, q, 7, 0.1).collect()
     assert {(r["query_id"], r["key"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_dated_boost_lists_candidates_only(spark, monkeypatch):
+    from quarry.operators import retrieve
+
+    chunks = spark.createDataFrame([(i, f"f{i // 4}", i % 4, f"text {i}", [1.0, i / 10]) for i in range(40)], "key int, file_path string, chunk_index int, text string, vector array<double>")
+    q = spark.createDataFrame([(1, "text 3", [1.0, 0.0]), (2, None, [0.0, 1.0])], "query_id int, question string, vector array<double>")
+    days = chunks.selectExpr("key", "20240101 + key % 2 AS day")
+    ranges = spark.createDataFrame([(1, 20240101, 20240101), (2, 20240101, 20240102), (2, 20240102, 20240103)], "query_id int, start_day int, end_day int")
+    seen, of = [], retrieve.boosts
+
+    def spy(lanes, chunks, questions, dated, o):
+        seen.append((dated.count(), lanes.count()))
+        return of(lanes, chunks, questions, dated, o)
+
+    monkeypatch.setattr(retrieve, "boosts", spy)
+    o = retrieve.Options(limit=3, threshold=0.0, candidates=8)
+    rows = retrieve.retrieve(chunks, q, o, ranges, days).collect()
+    retrieve.diagnostic_pool(chunks, q, 8, o, ranges, days).collect()
+    assert seen == [(4 + 8, 16)] * 2  # the chunks that have a day in a range are 60
+    assert {(r["query_id"], r["key"]) for r in rows if "date" in r["lanes"]} >= {(1, 0), (2, 39)} and all(r["text"] == f"text {r['key']}" for r in rows)
