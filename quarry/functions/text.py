@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,10 +22,20 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once a row: an expression that stands in a lambda or in several places is computed again each time."""
+    return F.transform(F.array(value), then)[0]
+
+
+def contains_normal(text: Column, snippet: Column) -> Column:
+    """Whole-word containment of a text by another, both normalised; an empty one is never contained."""
+    pad = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    return (snippet != "") & (F.instr(pad(text), pad(snippet)) > 0)
+
+
 def contains_snippet(text: Column, snippet: Column) -> Column:
     """Whole-word containment (FLT-6); an empty snippet is never contained."""
-    pad = lambda x: F.concat(F.lit(" "), normalise(x), F.lit(" "))
-    return (normalise(snippet) != "") & (F.instr(pad(text), pad(snippet)) > 0)
+    return once(normalise(snippet), lambda s: contains_normal(normalise(text), s))
 
 
 def words(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import QUESTION_STOP, contains_snippet, normalise, words
+from ..functions.text import QUESTION_STOP, contains_normal, contains_snippet, normalise, once, words
 from .retrieval import adjacent_runs
 
 GRAM, LEAK_LIMIT, MIN_WORDS, ATTEMPTS = 8, 0.7, 40, 2
@@ -35,9 +35,15 @@ def locate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def leak_ratio(question: Column, chunk: Column, stop: list[str] = QUESTION_STOP) -> Column:
     """Share of the question's meaningful words that the chunk has; repeats count, none at all is 1 (FLT-7)."""
-    q = F.filter(F.split(normalise(question), " "), lambda w: (F.length(w) > 1) & ~w.isin(stop))
-    c = F.split(normalise(chunk), " ")
-    return F.when(F.size(q) == 0, 1.0).otherwise(F.size(F.filter(q, lambda w: F.array_contains(c, w))) / F.size(q))
+    return _share(question, normalise(chunk), stop)
+
+
+def _share(question: Column, chunk: Column, stop: list[str]) -> Column:
+    """leak_ratio of a normalised chunk. Its words are made once a row, not once for every word of the question."""
+    words_of = F.filter(F.split(normalise(question), " "), lambda w: (F.length(w) > 1) & ~w.isin(stop))
+    repeats = lambda q, both: F.size(F.filter(q, lambda w: F.array_contains(both, w)))
+    share = lambda q: once(F.array_intersect(q, F.split(chunk, " ")), lambda both: repeats(q, both)) / F.size(q)
+    return once(words_of, lambda q: F.when(F.size(q) == 0, 1.0).otherwise(share(q)))
 
 
 def is_leak(question: Column, chunk: Column, limit: float = LEAK_LIMIT) -> Column:
@@ -55,7 +61,8 @@ def parsed_answer(raw: Column) -> Column:
 
 def drop_reason(question: Column, snippet: Column, chunk: Column, limit: float = LEAK_LIMIT) -> Column:
     """Why a candidate is dropped, null if it stays: the snippet is looked for before the wording (FLT-8)."""
-    return F.when(~contains_snippet(chunk, snippet), "snippet-not-found").when(is_leak(question, chunk, limit), "wording-leak")
+    reason = lambda c, s: F.when(~contains_normal(c, s), "snippet-not-found").when(_share(question, c, QUESTION_STOP) > limit, "wording-leak")
+    return once(normalise(chunk), lambda c: once(normalise(snippet), lambda s: reason(c, s)))
 
 
 def question_problems(questions: DataFrame) -> DataFrame:

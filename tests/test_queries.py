@@ -26,3 +26,23 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["wording_leak", "candidate_checks"])
+def test_texts_are_cut_once_a_row(spark, name):
+    assert "array_contains(split(" not in _plan(registry.QUERIES[name](spark, SF))
+
+
+def test_leak_ratio_of_repeats_and_nulls(spark):
+    from pyspark.sql import functions as F
+    from quarry.operators.evaluation import drop_reason, leak_ratio
+
+    rows = spark.createDataFrame([(1, "red red blue the", "A red car"), (2, "the a", "x"), (3, "red", None), (4, "red", ""), (5, None, "red")], "i int, q string, c string")
+    got = {r["i"]: r["x"] for r in rows.select("i", leak_ratio(F.col("q"), F.col("c")).alias("x")).collect()}
+    assert got == {1: 2 / 3, 2: 1.0, 3: 0.0, 4: 0.0, 5: None}
+    why = spark.createDataFrame([(1, "blue", "Red car", "a red  CAR"), (2, "red car", "red", "a red car"), (3, "blue", "", "a"), (4, "blue", "ed", "red")], "i int, q string, s string, c string")
+    assert [r[1] for r in why.select("i", drop_reason(F.col("q"), F.col("s"), F.col("c"))).orderBy("i").collect()] == [None, "wording-leak", "snippet-not-found", "snippet-not-found"]
