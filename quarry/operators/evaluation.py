@@ -13,24 +13,24 @@ from .retrieval import adjacent_runs
 GRAM, LEAK_LIMIT, MIN_WORDS, ATTEMPTS = 8, 0.7, 40, 2
 
 
-def _padded(c: Column) -> Column:
-    return F.concat(F.lit(" "), c, F.lit(" "))
-
-
 def locate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) where the normalised snippet occurs in whole words: equi-join on the snippet's first
     word n-gram, then an exact test, instead of every pair. Snippets of fewer words join on their own length.
 
     Only n-gram hashes meet; the text joins its own hits afterwards, so it doesn't ride beside each n-gram."""
-    want = items.select("item_id", normalise(F.col("text")).alias("s")).where("s <> ''").withColumn("w", F.split("s", " "))
-    want = want.withColumn("n", F.least(F.lit(GRAM), F.size("w"))).withColumn("g", F.xxhash64(F.array_join(F.slice("w", F.lit(1), F.col("n")), " "))).select("item_id", "s", "n", "g")
+    want = items.select("item_id", normalise(F.col("text")).alias("s")).where("s <> ''").withColumn("w", F.split("s", " ")).withColumn("n", F.least(F.lit(GRAM), F.size("w")))
     have = docs.select("doc_id", normalise(F.col("text")).alias("t"))
     lengths = sorted(r["n"] for r in want.select("n").distinct().collect())  # at most eight
-    grams = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, n), " ")))
-    every = F.flatten(F.array(*[F.when(F.size("w") >= n, grams(n)).otherwise(F.array().cast("array<bigint>")) for n in lengths])) if lengths else F.array().cast("array<bigint>")
-    hashes = have.withColumn("w", F.split("t", " ")).select("doc_id", F.explode(F.array_distinct(every)).alias("g"))
+    # words are taken one by one: in a lambda, slice copies the whole text for every n-gram
+    gram = lambda i, n: F.xxhash64(*[F.get("w", i + j) for j in range(n)])
+    none = F.array().cast("array<bigint>")
+    grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: gram(i, n))).otherwise(none)
+    want = want.withColumn("g", F.coalesce(F.lit(None).cast("bigint"), *[F.when(F.col("n") == n, gram(F.lit(0), n)) for n in lengths])).select("item_id", "s", "g")
+    every = F.flatten(F.array(*map(grams, lengths))) if len(lengths) > 1 else grams(lengths[0]) if lengths else none
+    hashes = have.withColumn("w", F.split("t", " ")).select("doc_id", F.explode_outer(every).alias("g"))  # explode would have them made twice, for a filter on their number
     near = hashes.join(want.select("item_id", "g"), "g").select("doc_id", "item_id").distinct()
-    return near.join(want.select("item_id", "s"), "item_id").join(have, "doc_id").where(F.instr(_padded(F.col("t")), _padded(F.col("s"))) > 0).select("doc_id", "item_id")
+    pairs = near.join(want.select("item_id", "s"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    return pairs.where(contains_normal(normalise(F.col("text")), F.col("s"))).select("doc_id", "item_id")
 
 
 def leak_ratio(question: Column, chunk: Column, stop: list[str] = QUESTION_STOP) -> Column:
@@ -89,10 +89,9 @@ def file_words(chunks: DataFrame) -> DataFrame:
 
 def evidence_location(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """questions(id, sourceFile, answerSnippet) to (id, found): whether the snippet stands in the rebuilt file (JOIN-12)."""
-    snippet = normalise(F.col("answerSnippet"))
-    rows = questions.join(file_words(chunks), F.col("file_path") == F.col("sourceFile"), "left")
-    found = (snippet != "") & (F.instr(_padded(F.coalesce("text", F.lit(""))), _padded(snippet)) > 0)
-    return rows.select("id", found.alias("found"))
+    named = chunks.join(questions.select(F.col("sourceFile").alias("file_path")).distinct(), "file_path", "left_semi")
+    rows = questions.join(file_words(named), F.col("file_path") == F.col("sourceFile"), "left")
+    return rows.select("id", contains_normal(F.coalesce("text", F.lit("")), normalise(F.col("answerSnippet"))).alias("found"))
 
 
 def evidence_depth(passages: DataFrame, questions: DataFrame) -> DataFrame:

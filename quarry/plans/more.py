@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -106,23 +107,40 @@ def rebuilt_files(s, d):
     return evaluation.file_words(c).select(F.col("file_path").alias("doc_id"), F.md5("text").alias("text_md5"))
 
 
+def _kept(df):
+    """Written once into the folder of spark.checkpoint.dir (on a local master without one, of this machine), so that a plan which reads it often makes it once and knows its size; else as it is."""
+    s = df.sparkSession
+    folder = s.conf.get("spark.checkpoint.dir", None) or ("file:///tmp/quarry-shared" if s.sparkContext.master.startswith("local") and "cluster" not in s.sparkContext.master else None)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/questions-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return s.read.schema(df.schema).parquet(path)
+
+
 def _question_set(s, d):
     """Every snippet with the documents that hold it and with the ones after those, which may not."""
     hits = evaluation.locate(_t(s, d, "documents"), _t(s, d, "benchmark")).select("item_id", "doc_id")
     both = hits.union(hits.select("item_id", F.col("doc_id") + 1)).distinct()
     rows = both.join(_t(s, d, "benchmark").select("item_id", "text"), "item_id")
-    return rows.select(F.concat_ws(":", "item_id", "doc_id").alias("id"), F.col("text").alias("question"), F.col("doc_id").alias("sourceFile"), F.col("text").alias("answerSnippet"))
+    return _kept(rows.select(F.concat_ws(":", "item_id", "doc_id").alias("id"), F.col("text").alias("question"), F.col("doc_id").alias("sourceFile"), F.col("text").alias("answerSnippet")))
+
+
+def _named(docs, q):
+    """The documents that a question names, before they are cut into words."""
+    return docs.join(q.select(F.col("sourceFile").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
 
 def evidence_location(s, d):
-    c = indexing.window_chunks(_t(s, d, "documents"), 64, 8).withColumnRenamed("doc_id", "file_path")
-    return evaluation.evidence_location(c, _question_set(s, d))
+    q = _question_set(s, d)
+    c = indexing.window_chunks(_named(_t(s, d, "documents"), q), 64, 8).withColumnRenamed("doc_id", "file_path")
+    return evaluation.evidence_location(c, q)
 
 
 def _ranked_chunks(s, d):
     """Each question's own file, its chunks in an order by hash."""
-    c = indexing.window_chunks(_t(s, d, "documents"), 64, 0).withColumnRenamed("doc_id", "file_path")
     q = _question_set(s, d)
+    c = indexing.window_chunks(_named(_t(s, d, "documents"), q), 64, 0).withColumnRenamed("doc_id", "file_path")
     rows = q.select(F.col("id").alias("query_id"), "sourceFile").join(c, F.col("sourceFile") == F.col("file_path"))
     order = Window.partitionBy("query_id").orderBy(F.md5(F.concat_ws(":", "query_id", "chunk_index")))
     return q, rows.select("query_id", F.row_number().over(order).alias("rank"), "file_path", "chunk_index", "text", "start_index", "end_index")
@@ -135,7 +153,7 @@ def evidence_depth(s, d):
 
 def scored_questions(s, d):
     q, rows = _ranked_chunks(s, d)
-    chunks = indexing.window_chunks(_t(s, d, "documents").where("doc_id % 10 <> 3"), 64, 0).withColumnRenamed("doc_id", "file_path")
+    chunks = indexing.window_chunks(_named(_t(s, d, "documents").where("doc_id % 10 <> 3"), q), 64, 0).withColumnRenamed("doc_id", "file_path")
     return evaluation.score_questions(q, rows.where("rank <= 6"), rows, chunks.select("file_path").distinct(), evaluation.evidence_location(chunks, q))
 
 

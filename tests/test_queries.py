@@ -37,6 +37,24 @@ def test_texts_are_cut_once_a_row(spark, name):
     assert "array_contains(split(" not in _plan(registry.QUERIES[name](spark, SF))
 
 
+def test_ngrams_copy_no_text(spark):
+    assert "slice(" not in _plan(registry.QUERIES["snippet_containment"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["evidence_location", "evidence_depth", "scored_questions"])
+def test_question_set_is_made_once(spark, name):
+    assert not any("benchmark" in f for f in registry.QUERIES[name](spark, SF).inputFiles())
+
+
+def test_locate_short_and_missing_snippets(spark):
+    from quarry.operators.evaluation import locate
+
+    docs = spark.createDataFrame([(1, "One, two THREE four five six seven eight nine."), (2, "two three"), (3, None), (4, "twothree")], "doc_id int, text string")
+    items = spark.createDataFrame([("a", "two three"), ("b", "one two three four five six seven eight nine"), ("c", "nine"), ("d", "!"), ("e", None), ("f", "two three four five six seven eight ten")], "item_id string, text string")
+    assert sorted(map(tuple, locate(docs, items).collect())) == [(1, "a"), (1, "b"), (1, "c"), (2, "a")]
+    assert locate(docs, items.limit(0)).collect() == [] and locate(docs, items.where("item_id IN ('d', 'e')")).collect() == []
+
+
 def test_leak_ratio_of_repeats_and_nulls(spark):
     from pyspark.sql import functions as F
     from quarry.operators.evaluation import drop_reason, leak_ratio
