@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import QUESTION_STOP, contains_normal, contains_snippet, normalise, once, words
-from .retrieval import adjacent_runs
+from ..functions.text import QUESTION_STOP, contains_normal, normalise, once, words
 
 GRAM, LEAK_LIMIT, MIN_WORDS, ATTEMPTS = 8, 0.7, 40, 2
 
@@ -98,14 +97,29 @@ def evidence_depth(passages: DataFrame, questions: DataFrame) -> DataFrame:
     """passages(query_id, rank, file_path, chunk_index, text), questions(id, sourceFile, answerSnippet) to (id, depth).
 
     The least number of first passages whose runs hold the evidence (WIN-5). Passages of other files
-    add nothing, so only depths at which the source's passages stand are tried."""
+    add nothing. The evidence stands in some consecutive chunks, and a prefix holds it once it has all
+    of them: from every chunk on, as many chunks are tried as the longest snippet can reach."""
     own = passages.join(questions, (F.col("query_id") == F.col("id")) & (F.col("file_path") == F.col("sourceFile")))
-    own = own.select("query_id", "rank", "file_path", "chunk_index", "text", "answerSnippet")
-    tries = own.select("query_id", F.col("rank").alias("k")).distinct()
-    upto = own.join(tries, "query_id").where(F.col("rank") <= F.col("k"))
-    runs = adjacent_runs(upto.withColumn("query_id", F.struct("query_id", "k", "answerSnippet")))
-    hit = runs.where(contains_snippet(F.col("text"), F.col("query_id.answerSnippet")))
-    return hit.groupBy(F.col("query_id.query_id").alias("id")).agg(F.min("query_id.k").alias("depth"))
+    own = own.select("query_id", "rank", "file_path", "chunk_index", F.coalesce(normalise(F.col("text")), F.lit("")).alias("t"), normalise(F.col("answerSnippet")).alias("s")).where("s <> ''")
+    n_words = lambda c: F.when(c == "", 0).otherwise(F.size(F.split(c, " "))).cast("long")
+    most = questions.agg(F.max(n_words(normalise(F.col("answerSnippet"))))).first()[0] or 0
+    by = ["query_id", "file_path", "s"]
+    own = own.groupBy(*by, "chunk_index").agg(F.min(F.struct("rank", "t")).alias("x")).select(*by, "chunk_index", "x.*")
+    own = own.withColumn("island", F.col("chunk_index") - F.row_number().over(Window.partitionBy(*by).orderBy("chunk_index")))
+    run = Window.partitionBy(*by, "island")
+    own = own.withColumn("upto", F.sum(n_words(F.col("t"))).over(run.orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.withColumn("after", F.lead(F.struct("rank", "t")).over(run.orderBy("chunk_index")))
+    near = F.collect_list(F.struct("chunk_index", "rank", "t", "after")).over(run.orderBy("upto").rangeBetween(0, most))
+    own = own.withColumn("near", F.array_sort(F.filter(near, lambda x: x["chunk_index"] >= F.col("chunk_index"))))  # chunks without words stand together
+    span = F.concat(F.transform("near", lambda x: F.struct(x["rank"].alias("rank"), x["t"].alias("t"))), F.array_compact(F.array(F.get("near", F.size("near") - 1)["after"])))
+    rank = own.schema["rank"].dataType
+    start = F.struct(F.lit(" ").alias("t"), F.lit(None).cast(rank).alias("top"), F.lit(None).cast(rank).alias("found"))
+
+    def step(a, x):
+        t, top = F.concat(a["t"], F.when(x["t"] == "", "").otherwise(F.concat(x["t"], F.lit(" ")))), F.greatest(a["top"], x["rank"])
+        return F.struct(t.alias("t"), top.alias("top"), F.coalesce(a["found"], F.when(F.instr(t, F.concat(F.lit(" "), F.col("s"), F.lit(" "))) > 0, top)).alias("found"))
+
+    return own.groupBy(F.col("query_id").alias("id")).agg(F.min(F.aggregate(span, start, step, lambda a: a["found"])).alias("depth")).where("depth IS NOT NULL")
 
 
 def score_questions(questions: DataFrame, passages: DataFrame, pool: DataFrame, indexed: DataFrame, located: DataFrame) -> DataFrame:

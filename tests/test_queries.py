@@ -64,3 +64,31 @@ def test_leak_ratio_of_repeats_and_nulls(spark):
     assert got == {1: 2 / 3, 2: 1.0, 3: 0.0, 4: 0.0, 5: None}
     why = spark.createDataFrame([(1, "blue", "Red car", "a red  CAR"), (2, "red car", "red", "a red car"), (3, "blue", "", "a"), (4, "blue", "ed", "red")], "i int, q string, s string, c string")
     assert [r[1] for r in why.select("i", drop_reason(F.col("q"), F.col("s"), F.col("c"))).orderBy("i").collect()] == [None, "wording-leak", "snippet-not-found", "snippet-not-found"]
+
+
+def test_evidence_depth_equals_every_prefix(spark):
+    import random
+
+    from quarry.operators.evaluation import evidence_depth
+
+    rng = random.Random(9)
+    passages, questions, want = [], [], {}
+    for i in range(150):
+        n = rng.randint(1, 9)
+        own = sorted((r, c, " ".join(rng.choices("abcd-", k=rng.randint(0, 4)))) for r, c in zip(rng.sample(range(1, 15), n), rng.sample(range(10), n), strict=True))
+        snippet = " ".join(rng.choices("abcd", k=rng.randint(1, 6)))
+        questions.append((i, "f", snippet))
+        passages += [(i, r, "f", c, t) for r, c, t in own] + [(i, 1, "g", 0, snippet)]
+        for k in range(1, n + 1):
+            runs, have = [], {c: t.replace("-", " ").split() for _, c, t in own[:k]}
+            for c in sorted(have):
+                if c - 1 in have:
+                    runs[-1] += have[c]
+                else:
+                    runs.append(list(have[c]))
+            if any(f" {snippet} " in f" {' '.join(r)} " for r in runs):
+                want[i] = own[k - 1][0]
+                break
+    df = evidence_depth(spark.createDataFrame(passages, "query_id int, rank int, file_path string, chunk_index int, text string"), spark.createDataFrame(questions, "id int, sourceFile string, answerSnippet string"))
+    assert {r["id"]: r["depth"] for r in df.collect()} == want
+    assert _plan(df).count("Join ") == 1  # no join of a question's passages with its depths
