@@ -11,9 +11,9 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from datetime import date, datetime
+from datetime import date
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ from ..functions.dates import Range, day_month_order, extract_dates, format_rang
 from ..functions.markdown import dated_sections, linearise_tables, numeric_cell, render_block
 
 SENTENCE = re.compile(r"[.!?][\"')\]]*$")
-FILL, EXTRA_TITLES = 0.75, 2
+FILL, EXTRA_TITLES, BATCH = 0.75, 2, 128
 
 
 @dataclass
@@ -37,14 +37,14 @@ class Section:
 @dataclass
 class Text:
     words: list[str] = field(default_factory=list)
-    last: list[bool] = field(default_factory=list)  # whether a word ends a block
+    shown: list[str] = field(default_factory=list)  # each with the space after it, or the line's end after a block
     heads: set[int] = field(default_factory=set)  # where headings end
     ends: list[int] = field(default_factory=list)  # where other blocks end
     tables: list[tuple[int, int, str]] = field(default_factory=list)
     sections: list[Section] = field(default_factory=list)
 
     def slice(self, a: int, b: int) -> str:
-        return "".join(w + ("\n" if e else " ") for w, e in zip(self.words[a:b], self.last[a:b], strict=True))[:-1]
+        return "".join(self.shown[a:b])[:-1]
 
     def add(self, path: list[str], dates: list[Range], blocks: list[tuple[str, str, int]]) -> None:
         s = Section(path, dates, blocks[0][0], len(self.words))
@@ -63,7 +63,7 @@ class Text:
                 table = (at, shown)
             own = shown.split()
             self.words += own
-            self.last += [False] * (len(own) - 1) + [True] * bool(own)
+            self.shown += [f"{w} " for w in own[:-1]] + [f"{w}\n" for w in own[-1:]]
             if kind == "heading":
                 self.heads.add(len(self.words))
                 s.first_heads = len(self.words) if leading else s.first_heads
@@ -188,20 +188,26 @@ def document_chunks(md: str, name: str, mtime: date | None, size: int, count_tok
 
 
 def chunk_documents(docs: DataFrame, size: int = 512, count_tokens: Callable[[str], int] | None = None) -> DataFrame:
-    """docs(doc_id, text as Markdown[, file_name, mtime]) to chunk rows; null text gives none. Dates are JSON ranges."""
+    """docs(doc_id, text as Markdown[, file_name, mtime]) to chunk rows; null text gives none. Dates are JSON ranges.
+
+    A batch of any size is cut BATCH documents at a time, so a worker holds the chunks of few of them."""
     ranges = lambda rs: json.dumps([{"start": a, "end": b} for a, b in rs])
-    names = ["chunk_index", "text", "embed_text", "context_header", "section_path", "posted_date", "dates", "start_index", "end_index"]
-
-    @F.pandas_udf("array<struct<chunk_index:int,text:string,embed_text:string,context_header:string,section_path:string,posted_date:string,dates:string,start_index:int,end_index:int>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, files, times in batches:
-            out = []
-            for text, name, at in zip(texts, files, times, strict=True):
-                day = at.date() if isinstance(at, datetime) and not pd.isna(at) else None
-                rows = document_chunks(text or "", name or "", day, size, count_tokens)
-                out.append([dict(zip(names, (i, c["text"], c["embed_text"], c["context_header"], c["section_path"], ranges([c["posted"]]) if c["posted"] else None, ranges(c["dates"]), c["start_index"], c["end_index"]), strict=True)) for i, c in enumerate(rows)])
-            yield pd.Series(out, dtype=object)
+    kinds = {"chunk_index": "int", "text": "string", "embed_text": "string", "context_header": "string", "section_path": "string", "posted_date": "string", "dates": "string", "start_index": "int", "end_index": "int"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                of, rows = [], []
+                for n, (text, name, day) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "file_name", "day")), strict=True)):
+                    for i, c in enumerate(document_chunks(text or "", name or "", day, size, count_tokens)):
+                        of.append(n)
+                        rows.append((i, c["text"], c["embed_text"], c["context_header"], c["section_path"], ranges([c["posted"]]) if c["posted"] else None, ranges(c["dates"]), c["start_index"], c["end_index"]))
+                if rows:
+                    made = [pa.array(x, pa.int32() if k == "int" else pa.string()) for x, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), *made], ["doc_id", *kinds])
 
     name = F.col("file_name") if "file_name" in docs.columns else F.lit("")
     mtime = F.col("mtime") if "mtime" in docs.columns else F.lit(None)
-    return docs.select("doc_id", F.explode(run(F.col("text"), name, mtime.cast("timestamp"))).alias("_c")).select("doc_id", "_c.*")
+    rows = docs.select("doc_id", "text", name.alias("file_name"), mtime.cast("timestamp").cast("date").alias("day"))
+    return rows.mapInArrow(run, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{c} {k}" for c, k in kinds.items())]))

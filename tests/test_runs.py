@@ -254,3 +254,11 @@ def test_dated_boost_lists_candidates_only(spark, monkeypatch):
     retrieve.diagnostic_pool(chunks, q, 8, o, ranges, days).collect()
     assert seen == [(4 + 8, 16)] * 2  # the chunks that have a day in a range are 60
     assert {(r["query_id"], r["key"]) for r in rows if "date" in r["lanes"]} >= {(1, 0), (2, 39)} and all(r["text"] == f"text {r['key']}" for r in rows)
+
+
+def test_chunks_are_made_for_few_documents_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", "# A 3 May 2024\n\n" + "word other. " * (i % 5 * 30) if i % 6 else None) for i in range(40)], "doc_id string, text string").coalesce(1)
+    whole = sorted(map(tuple, chunking.chunk_documents(docs, 40).collect()))
+    assert len(whole) > 40 and {r[0] for r in whole} == {f"d{i}" for i in range(40) if i % 6}
+    monkeypatch.setattr(chunking, "BATCH", 3)
+    assert sorted(map(tuple, chunking.chunk_documents(docs, 40).collect())) == whole
