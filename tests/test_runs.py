@@ -262,3 +262,11 @@ def test_chunks_are_made_for_few_documents_at_a_time(spark, monkeypatch):
     assert len(whole) > 40 and {r[0] for r in whole} == {f"d{i}" for i in range(40) if i % 6}
     monkeypatch.setattr(chunking, "BATCH", 3)
     assert sorted(map(tuple, chunking.chunk_documents(docs, 40).collect())) == whole
+
+
+def test_no_date_rule_reads_a_text_without_digits(monkeypatch):
+    from quarry.functions import dates
+
+    for rule in ("_ISO", "_NUMERIC", "_QUARTER", "_DAY_MONTH", "_MONTH_DAY", "_MONTH_YEAR"):
+        monkeypatch.setattr(dates, rule, None)
+    assert dates.extract_dates("In May, or the third of march: ٣ May") == [] and dates.day_month_order("none") is None
